@@ -63,9 +63,23 @@ def fit_cutoff_model(
     ``step_sd`` is the spread of one year's step, ``sd`` that of the whole horizon. Run
     ``contracts.history_violations`` first: this does not check the years.
     """
+    return fit_histogram(delta_histogram(offers, cols), target_year, cols, params)
+
+
+def fit_histogram(
+    histogram: DataFrame,
+    target_year: int,
+    cols: OfferCols = OfferCols(),
+    params: CutoffParams = CutoffParams(),
+) -> DataFrame:
+    """The fit from a ready ``delta_histogram``, so that several fits read the offers once.
+
+    Keeping only the years before a holdout in the histogram is the same as fitting on
+    those years' offers.
+    """
     group = list(cols.group)
     per_group = Window.partitionBy(*group)
-    deltas = delta_histogram(offers, cols).withColumn("resid_h", F.col("delta_h") - F.col("shift_h"))
+    deltas = histogram.withColumn("resid_h", F.col("delta_h") - F.col("shift_h"))
     centred = deltas.withColumns(
         {
             "_resid_mid": weighted_median("resid_h", "n").over(per_group),
