@@ -61,7 +61,7 @@ def _merged(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
-def _moments(df: DataFrame) -> DataFrame:
+def with_moments(df: DataFrame) -> DataFrame:
     """Means and population spreads in mark units from exact integer sums."""
 
     def spread(total: str, squares: str) -> Column:
@@ -123,7 +123,7 @@ def calibrate_knots(
 ) -> DataFrame:
     """Knot table: school record, count, mean and population spread of both marks."""
     bins = merge_thin_bins(calibrate_bins(sums, group, params), group, params)
-    knots = _moments(_merged(bins.filter("knot_h is not null"), [*group, "knot_h"]))
+    knots = with_moments(_merged(bins.filter("knot_h is not null"), [*group, "knot_h"]))
     return knots.select(
         *group, (F.col("knot_h") / 100).alias("school_media"), "n", *KNOT_FIELDS
     )

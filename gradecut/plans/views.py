@@ -29,8 +29,10 @@ def price_mark_h(price: Column) -> Column:
     return F.round(price * 100).cast("bigint") % 901 + 100
 
 
-def _lines_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+def _lines_by_region(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None
+) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -85,12 +87,15 @@ def offers(
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exam results: two common papers, a third for some, and the school record."""
+def candidates(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Exam results: two common papers, a third for some, and the school record.
+
+    ``lines`` may be a stream of line items instead of the stored table.
+    """
     romana = F.when(F.col("l_discount") <= 0.095, price_mark_h(F.col("l_extendedprice")))
     materna = F.when(F.col("l_returnflag") == "N", (F.col("l_orderkey") * 13) % 901 + 100)
     matematica = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 901 + 100
-    rows = _lines_by_region(spark, sf_dir).select(
+    rows = _lines_by_region(spark, sf_dir, lines).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"),
         F.col("o_custkey").alias("school_id"),
         "county",
@@ -147,3 +152,49 @@ def with_course(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(
         part.select("p_partkey", spec.alias("spec_id")), F.col("l_partkey") == F.col("p_partkey")
     ).drop("p_partkey")
+
+
+SITE = "https://site.example.com/"
+CRAWLS = 5
+
+
+def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pages filed under a small site: five counties, each page linking to two
+    further ones, reached through a root page and a year page."""
+    pages = table(spark, sf_dir, "pages")
+    county, place = F.col("page_id") % CRAWLS, F.call_function("div", F.col("page_id"), F.lit(CRAWLS))
+    anchor = lambda n: F.format_string('<a href="%d.html#top">next <b>%d</b></a>', n, n)
+    body = F.concat(
+        F.col("html"), anchor(place * 2 + 1), anchor(place * 2 + 2), F.lit('<a href="../">up</a>')
+    )
+    filed = pages.select(
+        F.format_string(SITE + "2024/c%d/%d.html", county, place).alias("url"),
+        F.lit(2024).alias("year"),
+        F.format_string("c%d", county).alias("county"),
+        body.alias("html"),
+    )
+    # At most five anchors, whatever the number of pages.
+    counties = pages.select(county.alias("_c")).distinct()
+    link = F.format_string('<a href="c%d/0.html">County %d</a>', F.col("_c"), F.col("_c"))
+    year_page = counties.agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("html")).select(
+        F.lit(SITE + "2024/").alias("url"), F.lit(2024).alias("year"), F.lit("").alias("county"), "html"
+    )
+    root = counties.agg(F.count(F.lit(1)).alias("_n")).select(
+        F.lit(SITE).alias("url"),
+        F.lit(2024).alias("year"),
+        F.lit("").alias("county"),
+        F.format_string('<a href="/2024/">Archive of %d</a><a href="/2023/">Older</a>', F.col("_n")).alias("html"),
+    )
+    return filed.unionByName(year_page).unionByName(root)
+
+
+def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One crawl per county of ``page_store``."""
+    pages = table(spark, sf_dir, "pages")
+    number = (F.col("page_id") % CRAWLS).alias("crawl")
+    return pages.select(number).distinct().select(
+        "crawl",
+        F.lit(SITE).alias("seed"),
+        F.lit(2024).alias("year"),
+        F.format_string("c%d", F.col("crawl")).alias("county"),
+    )
