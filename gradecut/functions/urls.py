@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradecut.functions.keys import county_name
@@ -13,6 +15,15 @@ _DEFAULT_PORTS = (("http", ":80"), ("https", ":443"))
 _NAME_LIMIT = 48
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it.
+
+    Keeps long chains linear in size: plain nesting would repeat a step's whole expression
+    wherever its result is used, and so would every predicate pushed through it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _percent_encode(text: Column, kept: str = _KEPT) -> Column:
     """UTF-8 percent-encoding of everything but plain URL characters."""
     encoded = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
@@ -21,9 +32,8 @@ def _percent_encode(text: Column, kept: str = _KEPT) -> Column:
     return F.when(text.rlike(r"[^\x21-\x7E]|[\"<>`{}]"), encoded).otherwise(text)
 
 
-def _remove_dot_segments(path: Column) -> Column:
-    """'.' and '..' resolved against the segments before them; path starts with '/'."""
-    segments = F.slice(F.split(path, "/"), 2, 1 << 20)
+def _resolved_segments(segments: Column) -> Column:
+    """'.' dropped and '..' taken together with the segment before it."""
     is_dot = lambda s: F.lower(s).isin(".", "%2e")
     is_up = lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e")
     kept = F.aggregate(
@@ -31,13 +41,24 @@ def _remove_dot_segments(path: Column) -> Column:
         F.array().cast("array<string>"),
         lambda acc, s: F.when(is_dot(s), acc)
         .when(is_up(s), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
+        .otherwise(F.array_append(acc, s)),
     )
     last = F.element_at(segments, -1)
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    trailing = (is_dot(last) | is_up(last)) & (F.size(kept) > 0)
-    cleaned = F.concat(joined, F.when(trailing, "/").otherwise(""))
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), cleaned).otherwise(path)
+    ends_open = is_dot(last) | is_up(last)
+    return _let(
+        kept,
+        lambda k: F.concat(
+            F.lit("/"),
+            F.array_join(k, "/"),
+            F.when(ends_open & (F.size(k) > 0), "/").otherwise(""),
+        ),
+    )
+
+
+def _remove_dot_segments(path: Column) -> Column:
+    """Path without '.' and '..'; it starts with '/'."""
+    tidy = _let(F.slice(F.split(path, "/"), 2, 1 << 20), _resolved_segments)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), tidy).otherwise(path)
 
 
 def origin_of(url: Column) -> Column:
@@ -48,80 +69,77 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def canonical_url(url: Column, keep_fragment: bool = True) -> Column:
-    """Normal form of an absolute http(s) URL: lower-case scheme and host, no default port,
-    no dot segments, '/' for an empty path, encoded path; null for anything else."""
-    pattern = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    part = lambda i: F.regexp_extract(url, pattern, i)
-    scheme = F.lower(part(1))
-    authority = F.lower(part(2))
+def _assembled(p: Column, keep_fragment: bool) -> Column:
+    """A URL from its parts (scheme, authority, path, query, fragment) in normal form."""
+    scheme, authority = p["scheme"], p["authority"]
+    host = authority
     for name, port in _DEFAULT_PORTS:
         default = (scheme == name) & authority.endswith(port)
-        authority = F.when(default, F.regexp_replace(authority, port + "$", "")).otherwise(authority)
-    path = F.when(part(3) == "", "/").otherwise(_remove_dot_segments(_percent_encode(part(3))))
-    query = F.when(part(4) == "?", "").otherwise(_percent_encode(part(4), _KEPT + "?"))
-    pieces = [scheme, F.lit("://"), authority, path, query]
+        host = F.when(default, F.regexp_replace(authority, port + "$", "")).otherwise(host)
+    path = _let(_percent_encode(F.when(p["path"] == "", "/").otherwise(p["path"])), _remove_dot_segments)
+    query = F.when(p["query"] == "?", "").otherwise(_percent_encode(p["query"], _KEPT + "?"))
+    pieces = [scheme, F.lit("://"), host, path, query]
     if keep_fragment:
-        pieces.append(_percent_encode(part(5), _KEPT + "?#"))
-    valid = scheme.isin("http", "https") & (part(2) != "") & ~part(2).rlike(r"[\s<>\\^|%]")
+        pieces.append(_percent_encode(p["fragment"], _KEPT + "?#"))
+    valid = scheme.isin("http", "https") & (authority != "") & ~authority.rlike(r"[\s<>\\^|%]")
     return F.when(valid, F.concat(*pieces))
 
 
-def with_resolved_url(
-    df: DataFrame, href: str, base: str, out: str, keep_fragment: bool = True
-) -> DataFrame:
-    """Add ``out``: the reference in ``href`` as seen from the page address in ``base``.
+def canonical_url(url: Column, keep_fragment: bool = True) -> Column:
+    """Normal form of an absolute http(s) URL: lower-case scheme and host, no default port,
+    no dot segments, '/' for an empty path, encoded path; null for anything else."""
+    pattern = r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+    names = ("scheme", "authority", "path", "query", "fragment")
+
+    def split(u: Column) -> Column:
+        parts = {n: F.regexp_extract(u, pattern, i + 1) for i, n in enumerate(names)}
+        parts["scheme"], parts["authority"] = F.lower(parts["scheme"]), F.lower(parts["authority"])
+        return F.struct(*[value.alias(n) for n, value in parts.items()])
+
+    return _let(_let(url, split), lambda p: _assembled(p, keep_fragment))
+
+
+def resolve_url(href: Column, base: Column, keep_fragment: bool = True) -> Column:
+    """``href`` as seen from the absolute page address ``base``, in canonical form.
 
     Handles absolute, scheme-relative, root-relative, query-only and relative references;
-    null when the result is not an http(s) address. Written as a chain of projections so
-    that each intermediate text is computed once per row.
+    null when the result is not an http(s) address.
     """
     scheme = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-    col = F.col
-    trimmed = F.regexp_replace(col(href), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
-    staged = df.withColumn("_ref", trimmed)
-    before_query = F.regexp_extract("_ref", r"^[^?#]*", 0)
-    staged = staged.withColumn(
-        "_ref",
-        F.when(
-            col("_ref").contains("\\"),
-            F.concat(F.translate(before_query, "\\", "/"), F.regexp_extract("_ref", r"[?#].*$", 0)),
-        ).otherwise(col("_ref")),
-    ).withColumns(
-        {
-            "_scheme": F.lower(F.regexp_extract("_ref", scheme, 1)),
-            "_rest": F.regexp_replace("_ref", scheme, ""),
-            "_base_scheme": F.lower(F.regexp_extract(base, r"^([A-Za-z]+):", 1)),
-            "_origin": origin_of(col(base)),
-            "_path": F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1),
-            "_whole": F.regexp_replace(base, "#.*$", ""),
-        }
+    trimmed = F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    slashed = lambda t: F.concat(
+        F.translate(F.regexp_extract(t, r"^[^?#]*", 0), "\\", "/"), F.regexp_extract(t, r"[?#].*$", 0)
     )
-    # "http:page" is a relative reference on an http page, an absolute one elsewhere.
-    inherits = (col("_scheme") == col("_base_scheme")) & ~col("_rest").startswith("//")
-    staged = staged.withColumns(
-        {
-            "_scheme": F.when(inherits, "").otherwise(col("_scheme")),
-            "_ref": F.when(inherits, col("_rest")).otherwise(col("_ref")),
-            "_dir": F.regexp_extract("_path", r"^(.*/)", 1),
-        }
-    )
-    ref = col("_ref")
-    absolute = (
-        F.when(col("_scheme") != "", F.concat("_scheme", F.lit("://"), F.regexp_replace("_rest", "^/+", "")))
-        .when(ref.startswith("//"), F.concat("_base_scheme", F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat("_origin", ref))
-        .when(ref.startswith("?"), F.concat("_origin", "_path", ref))
-        .when((ref == "") | ref.startswith("#"), F.concat("_whole", ref))
-        .when(col("_dir") == "", F.concat("_origin", F.lit("/"), ref))
-        .otherwise(F.concat("_origin", "_dir", ref))
-    )
-    staged = staged.withColumn("_absolute", absolute)
-    staged = staged.withColumn(out, canonical_url(col("_absolute"), keep_fragment))
-    return staged.drop(
-        "_ref", "_scheme", "_rest", "_base_scheme", "_origin", "_path", "_whole", "_dir", "_absolute"
+    cleaned = _let(trimmed, lambda t: F.when(t.contains("\\"), slashed(t)).otherwise(t))
+    parts = _let(
+        cleaned,
+        lambda t: F.struct(
+            t.alias("ref"),
+            F.lower(F.regexp_extract(t, scheme, 1)).alias("scheme"),
+            F.regexp_replace(t, scheme, "").alias("rest"),
+            F.lower(F.regexp_extract(base, r"^([A-Za-z]+):", 1)).alias("base_scheme"),
+            origin_of(base).alias("origin"),
+            F.regexp_extract(base, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"),
+        ),
     )
 
+    def absolute(p: Column) -> Column:
+        # "http:page" is a relative reference on an http page, an absolute one elsewhere.
+        inherits = (p["scheme"] == p["base_scheme"]) & ~p["rest"].startswith("//")
+        foreign = F.concat(p["scheme"], F.lit("://"), F.regexp_replace(p["rest"], "^/+", ""))
+        directory = F.regexp_extract(p["path"], r"^(.*/)", 1)
+        relative = _let(
+            F.when(inherits, p["rest"]).otherwise(p["ref"]),
+            lambda r: F.when(r.startswith("//"), F.concat(p["base_scheme"], F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(p["origin"], r))
+            .when(r.startswith("?"), F.concat(p["origin"], p["path"], r))
+            .when((r == "") | r.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), r))
+            .otherwise(F.concat(p["origin"], F.when(directory == "", "/").otherwise(directory), r)),
+        )
+        return F.when((p["scheme"] != "") & ~inherits, foreign).otherwise(relative)
+
+    return canonical_url(_let(parts, absolute), keep_fragment)
+
 
 def directory_of(url: Column) -> Column:
     """Everything up to the last slash of the path, without query and fragment."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradecut.functions import urls
+from gradecut.functions.marks import ANY_SPACE
 from gradecut.operators.ranking import pick_representative
 from gradecut.params import MAX_PAGES
 from gradecut.session import cut_lineage
@@ -16,6 +17,7 @@ from gradecut.session import cut_lineage
 ANCHOR = (
     r"(?is)<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\">]+))[^>]*>(.*?)</a>"
 )
+_GROUPS = ((1, "double"), (2, "single"), (3, "bare"), (4, "inner"))
 _SKIPPED = r"(?i)^(#|javascript:|mailto:|tel:)"
 
 
@@ -24,29 +26,38 @@ def extract_links(
 ) -> DataFrame:
     """Same-site links of every page: source, target without fragment, text and place.
 
-    Each target counts once per page, with the text and place of its first anchor. The
-    regular expressions run on whole pages inside the scan's stage; only distinct links
-    are shuffled.
+    Each target counts once per page, with the text and place of its first anchor. All of
+    it happens inside the page's own row, so nothing is shuffled.
     """
-    groups = [F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)) for i in (1, 2, 3, 4)]
-    anchors = pages.select(
-        *keep, F.col(url).alias("source"), F.posexplode(F.arrays_zip(*groups)).alias("position", "_a")
+    groups = [F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)).alias(n) for i, n in _GROUPS]
+    source = F.col(url)
+
+    def link(anchor: Column, position: Column) -> Column:
+        quoted = [F.nullif(anchor[n], F.lit("")) for n in ("double", "single", "bare")]
+        href = F.coalesce(*quoted)
+        # Skipped kinds never reach the resolver.
+        wanted = F.when(~href.rlike(_SKIPPED), href)
+        text = F.regexp_replace(F.regexp_replace(anchor["inner"], "<[^>]*>", " "), "(?i)&nbsp;", " ")
+        return F.struct(
+            urls.resolve_url(wanted, source, keep_fragment=False).alias("url"),
+            position.alias("position"),
+            F.trim(F.regexp_replace(text, ANY_SPACE + "+", " ")).alias("text"),
+        )
+
+    same = lambda u: urls.same_site(urls.host_of(u), urls.host_of(source))
+    found = F.filter(
+        F.transform(F.arrays_zip(*groups), link), lambda x: x["url"].isNotNull() & same(x["url"])
+    )
+    # Sorted by target and place, the first of each run of equal targets is the one to keep.
+    pages = pages.withColumn("_found", F.array_sort(found))
+    first = F.filter(
+        "_found", lambda x, i: (i == 0) | (F.get("_found", i - 1)["url"] != x["url"])
     )
-    href = F.coalesce(*[F.nullif(F.col(f"_a.{i}"), F.lit("")) for i in ("0", "1", "2")])
-    text = F.regexp_replace(F.regexp_replace("_a.3", "<[^>]*>", " "), "(?i)&nbsp;", " ")
-    anchors = anchors.select(
-        *keep,
-        "source",
-        "position",
-        href.alias("href"),
-        F.trim(F.regexp_replace(text, r"[\s\xA0]+", " ")).alias("text"),
-    ).filter(F.col("href").isNotNull() & ~F.col("href").rlike(_SKIPPED))
-    resolved = urls.with_resolved_url(anchors, "href", "source", "url", keep_fragment=False)
-    same = urls.same_site(urls.host_of(F.col("url")), urls.host_of(F.col("source")))
+    # The outer form keeps the optimizer from evaluating the array a second time as a filter.
     return (
-        resolved.filter(F.col("url").isNotNull() & same)
-        .groupBy(*keep, "source", "url")
-        .agg(F.min_by("text", "position").alias("text"), F.min("position").alias("position"))
+        pages.select(*keep, source.alias("source"), F.explode_outer(first).alias("_l"))
+        .select(*keep, "source", "_l.url", "_l.text", "_l.position")
+        .filter(F.col("url").isNotNull())
     )
 
 

@@ -63,9 +63,9 @@ def rank_within(
     return joined.withColumn(rank, F.col("_before") + here).drop("_part", "_at", "_first", "_before")
 
 
-def _picks_below(rank: Column, size: Column, count: int) -> Column:
+def _picks_below(rank: Column, size: Column, count: Column) -> Column:
     """How many of the ``count`` evenly spaced positions lie below ``rank``."""
-    step = size / F.lit(float(count))
+    step = size / count.cast("double")
     guess = F.ceil(rank / step)
     place = lambda i: F.floor(i * step)
     first = (
@@ -73,18 +73,19 @@ def _picks_below(rank: Column, size: Column, count: int) -> Column:
         .when(place(guess) >= rank, guess)
         .otherwise(guess + 1)
     )
-    return F.least(F.lit(count), F.greatest(F.lit(0), first))
+    return F.least(count, F.greatest(F.lit(0), first)).cast("bigint")
 
 
 def even_sample(
-    df: DataFrame, strata: Sequence[str], order: Sequence[str], count: int, distinct: bool = False
+    df: DataFrame, strata: Sequence[str], order: Sequence[str], count: int | Column, distinct: bool = False
 ) -> DataFrame:
     """``count`` evenly spaced rows of every stratum in sort order; all rows of small strata.
 
-    Copies are folded into one weighted row before anything is sorted; ``distinct`` drops
+    ``count`` may be a column of the stratum. Copies are folded into one weighted row before anything is sorted; ``distinct`` drops
     them instead. Deterministic: no random numbers are involved.
     """
     columns = df.columns
+    count = F.lit(count) if isinstance(count, int) else count
     folded = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     if distinct:
         folded = folded.withColumn("_copies", F.lit(1).cast("bigint"))

@@ -197,9 +197,9 @@ points AS (
   SELECT *, least(10.0, x + 0.125) AS xhi, greatest(1.0, x - 0.125) AS xlo
   FROM (SELECT *, current_grade - 4 AS years,
           list_avg(list_transform(generate_series(5, current_grade),
-              g -> least(1000, greatest(100, school_media_h + (g - 6) * 7)) / 100)) AS x,
+              lambda g: least(1000, greatest(100, school_media_h + (g - 6) * 7)) / 100)) AS x,
           list_sum(list_transform([5, 6, 7],
-              k -> pow(0.25 * ((least(k, current_grade) - 4) / (current_grade - 4)), 2))) AS drift,
+              lambda k: pow(0.25 * ((least(k, current_grade) - 4) / (current_grade - 4)), 2))) AS drift,
           least(1000, greatest(100, school_media_h + (current_grade - 6) * 7)) / 100 AS naive
         FROM pupils WHERE NOT mt) t),
 subject AS (
@@ -216,12 +216,6 @@ def clamp(v: str) -> str:
     return f"least(10.0, greatest(1.0, {v}))"
 
 
-def _six(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
-
-
-PREDICTION_SD = f"{Z_80}"
-
 ORACLES: dict[str, str] = {}
 
 ORACLES["verify_media"] = f"""
@@ -284,7 +278,7 @@ WHERE contains(strip_accents(lower(text)), strip_accents(lower(needle)))"""
 
 ORACLES["part_search"] = """
 SELECT p_partkey, p_name FROM part
-WHERE p_brand = 'Brand#12' AND contains(lower(concat_ws(' ', p_name, p_type)), 'part_1')"""
+WHERE p_brand = 'Brand#12' AND contains(lower(concat_ws(' ', p_name, p_type)), 'ring')"""
 
 _FAULTY = f"""
 WITH {OFFERS},
@@ -541,13 +535,19 @@ SELECT count(*) AS n, round(corr(er, em), 6) AS subject_rho FROM res"""
 
 ORACLES["group_effects"] = f"""
 WITH {CANDIDATES}, {KNOTS}, {EFFECTS}
-SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(coalesce(romana, 0.0), 6) AS romana,
-       round(coalesce(matematica, 0.0), 6) AS matematica
+SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(coalesce(romana, 0.0), 12) AS romana,
+       round(coalesce(matematica, 0.0), 12) AS matematica
 FROM customer LEFT JOIN effects ON c_custkey = school_id"""
 
 ORACLES["predict_marks"] = f"""
 WITH {CANDIDATES}, {KNOTS}, {EFFECTS}, {STUDENTS}, {PREDICTED}
-SELECT u.candidate_id, u.current_grade,
+SELECT candidate_id, current_grade, error, school_mean, horizon_years, romana_basis, romana_sd, matematica_sd, media_sd,
+       CASE WHEN error IS NULL THEN romana_mean END AS romana_mean, CASE WHEN error IS NULL THEN romana_low END AS romana_low,
+       CASE WHEN error IS NULL THEN romana_high END AS romana_high,
+       CASE WHEN error IS NULL THEN matematica_mean END AS matematica_mean,
+       CASE WHEN error IS NULL THEN media_mean END AS media_mean, CASE WHEN error IS NULL THEN media_low END AS media_low,
+       CASE WHEN error IS NULL THEN media_high END AS media_high
+FROM (SELECT u.candidate_id, u.current_grade,
        CASE WHEN u.mt THEN 'mother-tongue candidates are not supported' END AS error,
        round(x, 6) AS school_mean, CAST(CASE WHEN NOT u.mt THEN 8 - u.current_grade END AS INTEGER) AS horizon_years,
        round({clamp('raw_r')}, 6) AS romana_mean, round(sd_r, 6) AS romana_sd,
@@ -559,7 +559,7 @@ SELECT u.candidate_id, u.current_grade,
 FROM (SELECT candidate_id, current_grade, mt, mock_r, NULL::DOUBLE AS x, NULL::DOUBLE AS raw_r, NULL::DOUBLE AS sd_r,
              NULL::DOUBLE AS raw_m, NULL::DOUBLE AS sd_m, NULL::DOUBLE AS raw, NULL::DOUBLE AS media_sd
       FROM pupils WHERE mt
-      UNION ALL SELECT candidate_id, current_grade, mt, mock_r, x, raw_r, sd_r, raw_m, sd_m, raw, media_sd FROM predicted) u"""
+      UNION ALL SELECT candidate_id, current_grade, mt, mock_r, x, raw_r, sd_r, raw_m, sd_m, raw, media_sd FROM predicted) u)"""
 
 ORACLES["student_guards"] = f"""
 WITH {CANDIDATES}, {STUDENTS},
@@ -731,7 +731,7 @@ ORACLES["last_write_wins"] = """
 SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"""
 
-_ENCODE = "array_to_string(list_transform(string_split({0}, ''), c -> CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), '')"
+_ENCODE = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), '')"
 ORACLES["extract_links"] = f"""
 WITH a AS (
   SELECT page_id, regexp_extract(lower(url), '^(https?://[^/?#]*)', 1) AS origin,

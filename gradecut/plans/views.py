@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row. One that arrives in fewer splits than there
+    are cores is dealt out once; a table of many splits is left as it is."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def price_mark_h(price: Column) -> Column:
     """A mark in hundredths spread over the whole scale by the cents of a price."""
     return F.round(price * 100).cast("bigint") % 901 + 100
@@ -44,7 +52,8 @@ def _lines_by_region(
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "county", F.col("n_name").alias("school"))
     )
-    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Two fact tables: a shuffled merge, never a broadcast, however small one looks once pruned.
+    return lines.join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _course_columns(brand: Column, size: Column) -> tuple[Column, Column]:
@@ -161,7 +170,7 @@ CRAWLS = 5
 def page_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored pages filed under a small site: five counties, each page linking to two
     further ones, reached through a root page and a year page."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread_table(spark, sf_dir, "pages")
     county, place = F.col("page_id") % CRAWLS, F.call_function("div", F.col("page_id"), F.lit(CRAWLS))
     anchor = lambda n: F.format_string('<a href="%d.html#top">next <b>%d</b></a>', n, n)
     body = F.concat(

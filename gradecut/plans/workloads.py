@@ -23,8 +23,8 @@ from gradecut.operators import (
 )
 from gradecut.params import CalibrationParams
 from gradecut.plans import views
-from gradecut.plans.views import VIEW_COLS, table
-from gradecut.session import cut_lineage
+from gradecut.plans.views import VIEW_COLS, spread_table, table
+from gradecut.session import cut_lineage, shared_path
 from gradecut.sources import exams, pages as page_sources, sinks
 from gradecut.streaming import streams
 
@@ -45,14 +45,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def six(value: Column | str) -> Column:
-    return F.round(F.col(value) if isinstance(value, str) else value, 6)
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, so that engines agree on the last bits."""
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many decimals, so that engines agree on the last bits."""
     kinds = dict(df.dtypes)
-    return df.select(*[six(c).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    return df.select(
+        *[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]
+    )
 
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +95,7 @@ def truncate_parse_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         marks.format_media_h(cell_h).alias("shown"),
         marks.to_hundredths(average / 100).alias("grade_h"),
         marks.snap_to_grid_h(average, 25).alias("knot_h"),
-        six(marks.scale_position(average / 100)).alias("position"),
+        F.round(marks.scale_position(average / 100), 6).alias("position"),
     )
 
 
@@ -130,13 +128,13 @@ def exam_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = text.normalize_text(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"))
     return docs.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").alias("length"))
 
 
 @query
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = None
     for needle in NEEDLES:
         hit = docs.filter(text.matches_search(F.col("text"), needle)).select(
@@ -152,7 +150,7 @@ def part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", F.col("p_brand").alias("track")
     )
-    return contracts.text_filter(parts, "PART_1", "Brand#12", ["p_name", "p_type"]).select(
+    return contracts.text_filter(parts, "RING", "Brand#12", ["p_name", "p_type"]).select(
         "p_partkey", "p_name"
     )
 
@@ -275,7 +273,7 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("official").alias("provenance"),
         F.lit("https://example.org/results").alias("source"),
     )
-    root = streams.stream_folder(spark, "published")
+    root = shared_path(spark, "published")
     sinks.publish(cut_lineage(offers), root, GENERATED_AT, "g1")
     return sinks.read_published(spark, root).groupBy(F.col("year").cast("int").alias("year"), "county").agg(
         F.count(F.lit(1)).alias("n"), F.sum("last_media_h").alias("total_h")
@@ -440,7 +438,9 @@ def group_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a school, those without results included."""
     directory = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("school_id"))
     knots = calibration.knots_2025(spark)
-    return rounded(calibration.group_effects(views.candidates(spark, sf_dir), knots, directory=directory))
+    effects = calibration.group_effects(views.candidates(spark, sf_dir), knots, directory=directory)
+    # Shrinking divides by n + 30, often a power of two: six decimals would end in ties.
+    return rounded(effects, 12)
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -616,7 +616,7 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = links.extract_links(table(spark, sf_dir, "pages"), keep=["page_id"])
+    found = links.extract_links(spread_table(spark, sf_dir, "pages"), keep=["page_id"])
     return found.select("page_id", "url", "text", "position")
 
 
@@ -672,7 +672,7 @@ def descend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawls, _, reached = _crawled(spark, sf_dir)
     records = links.page_record(reached, crawls, F.lit(GENERATED_AT))
-    folder = streams.stream_folder(spark, "records")
+    folder = shared_path(spark, "records")
     sinks.upsert_records(records, folder)
     stored = spark.read.parquet(folder)
     return stored.select(
@@ -715,7 +715,7 @@ def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "lineitem").schema
     lines = streams.read_arriving(spark, f"{sf_dir}/lineitem*.parquet", schema)
     counts = streams.running_verification(views.candidates(spark, sf_dir, lines))
-    folder = streams.stream_folder(spark, "verify")
+    folder = shared_path(spark, "verify")
     streams.run_counts(counts, f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
 
@@ -725,6 +725,6 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "pages").schema
     pages = streams.read_arriving(spark, f"{sf_dir}/pages*.parquet", schema)
     bare = pages.select(urls.canonical_url(F.col("url"), keep_fragment=False).alias("url"))
-    folder = streams.stream_folder(spark, "pages")
+    folder = shared_path(spark, "pages")
     streams.run_available(streams.first_seen_pages(bare).select("canonical_url"), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")

@@ -231,11 +231,10 @@ def media_sample(results: DataFrame, counts: dict[str, int] | None = None) -> Da
     formed = results.withColumn("form", paper_form(results)).filter("form is not null")
     # One row per combination of marks, with the highest published average among copies.
     distinct = formed.groupBy("form", *marks).agg(F.max("media_h").alias("media_h"))
-    sample = None
-    for form, count in (counts or MEDIA_SAMPLE).items():
-        part = even_sample(distinct.filter(F.col("form") == form), ["form"], marks, count)
-        sample = part if sample is None else sample.unionByName(part)
-    return sample
+    counts = counts or MEDIA_SAMPLE
+    wanted = F.create_map(*[F.lit(v) for pair in counts.items() for v in pair])
+    count = F.try_element_at(wanted, F.col("form"))
+    return even_sample(distinct.filter(F.col("form").isin(*counts)), ["form"], marks, count, distinct=True)
 
 
 def write_csv_sample(sample: DataFrame, path: str, headings: dict[str, str]) -> None:

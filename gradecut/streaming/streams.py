@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gradecut.functions.urls import canonical_url
 from gradecut.operators.evaluate import media_counters
-from gradecut.session import shared_dir
 
 
 def read_arriving(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
@@ -73,7 +70,3 @@ def run_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query.awaitTermination()
     return query
 
-
-def stream_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
