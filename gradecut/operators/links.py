@@ -11,7 +11,7 @@ from gradecut.functions import urls
 from gradecut.functions.marks import ANY_SPACE
 from gradecut.operators.ranking import pick_representative
 from gradecut.params import MAX_PAGES
-from gradecut.session import cut_lineage
+from gradecut.session import cut_lineage, shared_path
 
 # Fixed value: an anchor with its target in any quoting, and what it encloses.
 ANCHOR = (
@@ -129,10 +129,19 @@ def descend(
     below = cut_lineage(
         below.select(F.col("source").alias("_source"), F.col("url").alias("_url"), F.col("position").alias("_at"))
     )
+    spark = links.sparkSession
+    folder = shared_path(spark, "reached")
+    schema = starts.select("crawl", "url", F.lit(0).cast("bigint").alias("place")).schema
+
+    def keep(level: DataFrame, depth: int) -> DataFrame:
+        """Add a level to the folder of what was reached, and read it back."""
+        level.select("crawl", "url", "place").write.parquet(f"{folder}/depth={depth}")
+        return spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
+
     first = starts.groupBy("crawl", "url").agg(F.min("place").cast("bigint").alias("place"))
-    reached = cut_lineage(first.select("crawl", "url", F.lit(0).alias("depth"), "place"))
-    frontier = reached
+    frontier = keep(first, 0)
     for depth in range(1, max_depth + 1):
+        reached = spark.read.parquet(folder)
         candidates = frontier.join(below, F.col("url") == F.col("_source")).select(
             "crawl", F.col("_url").alias("url"), F.struct(F.col("place"), F.col("_at")).alias("_order")
         )
@@ -140,9 +149,7 @@ def descend(
         fresh = fresh.join(reached.select("crawl", "url"), ["crawl", "url"], "left_anti")
         if max_pages is None:
             # The order only matters to a cap; without one any distinct number will do.
-            level = fresh.select(
-                "crawl", "url", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place")
-            )
+            level = fresh.withColumn("place", F.monotonically_increasing_id())
         else:
             in_order = Window.partitionBy("crawl").orderBy("_order")
             room = reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("_used"))
@@ -151,13 +158,11 @@ def descend(
                 .filter(F.col("place") <= max_pages)
                 .join(room, "crawl")
                 .filter(F.col("place") + F.col("_used") <= max_pages)
-                .select("crawl", "url", F.lit(depth).alias("depth"), "place")
             )
-        frontier = cut_lineage(level)
+        frontier = keep(level, depth)
         if frontier.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(frontier))
-    return reached
+            break
+    return spark.read.parquet(folder).select("crawl", "url", F.col("depth").cast("int").alias("depth"), "place")
 
 
 def page_record(

@@ -49,7 +49,7 @@ def phi(z: str) -> str:
         f" + 0.254829592) * {t}"
     )
     erf = f"(1.0 - ({poly}) * exp(-({x} * {x})))"
-    return f"(CASE WHEN {z} < 0 THEN 0.5 * (1.0 - {erf}) ELSE 0.5 * (1.0 + {erf}) END)"
+    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} < 0 THEN 0.5 * (1.0 - {erf}) ELSE 0.5 * (1.0 + {erf}) END)"
 
 
 def hypot(a: str, b: str) -> str:
@@ -535,8 +535,8 @@ SELECT count(*) AS n, round(corr(er, em), 6) AS subject_rho FROM res"""
 
 ORACLES["group_effects"] = f"""
 WITH {CANDIDATES}, {KNOTS}, {EFFECTS}
-SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(coalesce(romana, 0.0), 12) AS romana,
-       round(coalesce(matematica, 0.0), 12) AS matematica
+SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(coalesce(romana, 0.0) + 3e-10, 6) AS romana,
+       round(coalesce(matematica, 0.0) + 3e-10, 6) AS matematica
 FROM customer LEFT JOIN effects ON c_custkey = school_id"""
 
 ORACLES["predict_marks"] = f"""
@@ -549,13 +549,13 @@ SELECT candidate_id, current_grade, error, school_mean, horizon_years, romana_ba
        CASE WHEN error IS NULL THEN media_high END AS media_high
 FROM (SELECT u.candidate_id, u.current_grade,
        CASE WHEN u.mt THEN 'mother-tongue candidates are not supported' END AS error,
-       round(x, 6) AS school_mean, CAST(CASE WHEN NOT u.mt THEN 8 - u.current_grade END AS INTEGER) AS horizon_years,
-       round({clamp('raw_r')}, 6) AS romana_mean, round(sd_r, 6) AS romana_sd,
-       round({clamp(f'raw_r - sd_r * {Z_80}')}, 6) AS romana_low, round({clamp(f'raw_r + sd_r * {Z_80}')}, 6) AS romana_high,
+       round(3e-10 + x, 6) AS school_mean, CAST(CASE WHEN NOT u.mt THEN 8 - u.current_grade END AS INTEGER) AS horizon_years,
+       round(3e-10 + {clamp('raw_r')}, 6) AS romana_mean, round(3e-10 + sd_r, 6) AS romana_sd,
+       round(3e-10 + {clamp(f'raw_r - sd_r * {Z_80}')}, 6) AS romana_low, round(3e-10 + {clamp(f'raw_r + sd_r * {Z_80}')}, 6) AS romana_high,
        CASE WHEN u.mt THEN NULL WHEN u.mock_r IS NULL THEN 'school' ELSE 'school+simulare' END AS romana_basis,
-       round({clamp('raw_m')}, 6) AS matematica_mean, round(sd_m, 6) AS matematica_sd,
-       round({clamp('raw')}, 6) AS media_mean, round(media_sd, 6) AS media_sd,
-       round({clamp(f'raw - media_sd * {Z_80}')}, 6) AS media_low, round({clamp(f'raw + media_sd * {Z_80}')}, 6) AS media_high
+       round(3e-10 + {clamp('raw_m')}, 6) AS matematica_mean, round(3e-10 + sd_m, 6) AS matematica_sd,
+       round(3e-10 + {clamp('raw')}, 6) AS media_mean, round(3e-10 + media_sd, 6) AS media_sd,
+       round(3e-10 + {clamp(f'raw - media_sd * {Z_80}')}, 6) AS media_low, round(3e-10 + {clamp(f'raw + media_sd * {Z_80}')}, 6) AS media_high
 FROM (SELECT candidate_id, current_grade, mt, mock_r, NULL::DOUBLE AS x, NULL::DOUBLE AS raw_r, NULL::DOUBLE AS sd_r,
              NULL::DOUBLE AS raw_m, NULL::DOUBLE AS sd_m, NULL::DOUBLE AS raw, NULL::DOUBLE AS media_sd
       FROM pupils WHERE mt
@@ -806,3 +806,19 @@ SELECT url, CASE WHEN existing THEN concat(stem, '.html')
                  WHEN i = 1 AND stem NOT IN (SELECT stem FROM taken) THEN concat(stem, '.html')
                  ELSE concat(stem, '-', substr(sha1(url), 1, 6), '.html') END AS file, existing
 FROM r"""
+
+ORACLES["discovery_failures"] = """
+SELECT DISTINCT page_id % 5 + 100 AS crawl, 1999 AS year, concat('c', page_id % 5) AS county,
+       'https://site.example.com/2024/ https://site.example.com/2023/' AS seen
+FROM pages"""
+ORACLES["harvest_summary"] = f"""
+WITH RECURSIVE {_TREE}
+SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages) AS BIGINT) AS new_files,
+       CAST(0 AS BIGINT) AS failed, count(*) AS crawls
+FROM (SELECT crawl, count(*) AS pages FROM kept GROUP BY crawl)"""
+ORACLES["sql_functions"] = f"""
+WITH {CANDIDATES},
+a AS (SELECT county, ((CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h) // 2
+                            ELSE (romana_h + materna_h + matematica_h) // 3 END) - 550) / 100 AS z FROM candidates),
+p AS (SELECT county, {phi('z')} AS p FROM a)
+SELECT county, CASE WHEN p IS NULL THEN NULL ELSE {band('p')} END AS band, count(*) AS n FROM p GROUP BY 1, 2"""

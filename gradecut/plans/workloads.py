@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradecut.functions import keys, marks, probability, text, urls
+from gradecut.functions import keys, marks, sql, text, urls
 from gradecut.operators import (
     answers,
     calibration,
@@ -36,6 +36,7 @@ HOLDOUT_YEAR = 2001
 EPOCH_YEAR = 1998
 MIN_COUNT = 2500
 TOP_N = 3
+NUDGE = 3e-10
 NEEDLES = ("eter", "écha", "über")
 GENERATED_AT = "2002-01-01T00:00:00Z"
 
@@ -45,11 +46,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to so many decimals, so that engines agree on the last bits."""
+def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles to six decimals, so that engines agree on the last bits.
+
+    ``nudge`` moves values that are exact halves at the sixth decimal off the tie.
+    """
     kinds = dict(df.dtypes)
     return df.select(
-        *[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]
+        *[
+            F.round(F.col(c) + nudge if nudge else F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c)
+            for c in df.columns
+        ]
     )
 
 
@@ -135,13 +142,8 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = None
-    for needle in NEEDLES:
-        hit = docs.filter(text.matches_search(F.col("text"), needle)).select(
-            F.lit(needle).alias("needle"), "doc_id", "lang"
-        )
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    hits = [F.when(text.matches_search(F.col("text"), n), n) for n in NEEDLES]
+    return docs.select(F.explode(F.array_compact(F.array(*hits))).alias("needle"), "doc_id", "lang")
 
 
 @query
@@ -439,8 +441,8 @@ def group_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("school_id"))
     knots = calibration.knots_2025(spark)
     effects = calibration.group_effects(views.candidates(spark, sf_dir), knots, directory=directory)
-    # Shrinking divides by n + 30, often a power of two: six decimals would end in ties.
-    return rounded(effects, 12)
+    # Shrinking divides by n + 30, often a power of two: exact halves do occur.
+    return rounded(effects, NUDGE)
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,7 +459,8 @@ def predict_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "candidate_id", "current_grade", "error", "school_mean", "horizon_years",
             "romana_mean", "romana_sd", "romana_low", "romana_high", "romana_basis",
             "matematica_mean", "matematica_sd", "media_mean", "media_sd", "media_low", "media_high",
-        )
+        ),
+        NUDGE,
     )
 
 
@@ -662,6 +665,41 @@ def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls for a year the site never had, with what their seed page offered instead."""
+    found = cut_lineage(links.extract_links(views.page_store(spark, sf_dir)))
+    known = views.crawls(spark, sf_dir)
+    absent = known.select((F.col("crawl") + 100).alias("crawl"), "seed", F.lit(1999).alias("year"), "county")
+    crawls = known.unionByName(absent)
+    reached = links.discover(found, crawls, names=False)
+    failed = links.discovery_failures(found, crawls, reached)
+    seen = F.array_join(F.transform("links_seen", lambda e: e["url"]), " ")
+    return failed.select("crawl", "year", "county", seen.alias("seen"))
+
+
+@query
+def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per year from the crawl, with the counties that stopped at the page cap."""
+    crawls, _, reached = _crawled(spark, sf_dir)
+    counted = crawls.join(reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("pages")), "crawl", "left")
+    results = counted.select(
+        "year", "pages", F.col("pages").alias("new_files"), F.when(F.col("pages").isNull(), "nothing found").alias("error")
+    )
+    return links.harvest_summary(results)
+
+
+@query
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions registered for SQL, used from SQL."""
+    sql.register_functions(spark)
+    views.candidates(spark, sf_dir).createOrReplaceTempView("gradecut_results")
+    return spark.sql("""
+        SELECT county, chance_band(normal_cdf((exam_average_h(romana_h, matematica_h, materna_h) - 550) / 100D)) AS band,
+               count(*) AS n
+        FROM gradecut_results GROUP BY 1, 2""")
+
+
 @query
 def descend(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, reached = _crawled(spark, sf_dir)
