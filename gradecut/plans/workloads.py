@@ -52,12 +52,14 @@ def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
     ``nudge`` moves values that are exact halves at the sixth decimal off the tie.
     """
     kinds = dict(df.dtypes)
-    return df.select(
-        *[
-            F.round(F.col(c) + nudge if nudge else F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c)
-            for c in df.columns
-        ]
-    )
+
+    def short(name: str) -> Column:
+        # Half away from zero; a built-in round would go through decimal text on every value.
+        value = F.col(name) + nudge
+        size = F.floor(F.abs(value) * 1e6 + 0.5) / 1e6
+        return F.when(value < 0, 0.0 - size).otherwise(size).alias(name)
+
+    return df.select(*[short(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
