@@ -90,9 +90,9 @@ def even_sample(
     if distinct:
         folded = folded.withColumn("_copies", F.lit(1).cast("bigint"))
     rest = [c for c in columns if c not in order and c not in strata]
-    ranked = rank_within(
-        folded, strata, [F.col(c) for c in [*order, *rest]], "_rank", "_size", weight="_copies"
-    )
+    keys = [F.col(c) for c in [*order, *rest]]
+    weight = None if distinct else "_copies"
+    ranked = rank_within(folded, strata, keys, "_rank", "_size", weight=weight)
     taken = _picks_below(F.col("_rank") + F.col("_copies"), F.col("_size"), count) - _picks_below(
         F.col("_rank"), F.col("_size"), count
     )
