@@ -234,6 +234,8 @@ def calibrate(
     if sums.isEmpty():
         raise ValueError("no candidates counted toward the calibration")
     knots = cut_lineage(calibrate_knots(sums, group, params))
+    if knots.isEmpty():
+        raise ValueError(f"no bin holds {params.min_count} candidates, the calibration has no knots")
     return knots, residual_rho(sums, knots, group)
 
 

@@ -528,9 +528,9 @@ segs AS (
 ends AS (SELECT min(x) AS a, max(x) AS b FROM fitted),
 placed AS (SELECT *, least(b, greatest(a, school_media_h / 100)) AS c FROM elig, ends),
 res AS (
-  SELECT romana_h / 100 - (r0 + (c - lo) / (hi - lo) * (r1 - r0)) AS er,
-         matematica_h / 100 - (m0 + (c - lo) / (hi - lo) * (m1 - m0)) AS em
-  FROM placed JOIN segs ON hi IS NOT NULL AND c >= lo AND (c < hi OR (hi = b AND c = b)))
+  SELECT romana_h / 100 - CASE WHEN a = b THEN r0 ELSE r0 + (c - lo) / (hi - lo) * (r1 - r0) END AS er,
+         matematica_h / 100 - CASE WHEN a = b THEN m0 ELSE m0 + (c - lo) / (hi - lo) * (m1 - m0) END AS em
+  FROM placed JOIN segs ON (a = b) OR (hi IS NOT NULL AND c >= lo AND (c < hi OR (hi = b AND c = b))))
 SELECT count(*) AS n, round(corr(er, em), 6) AS subject_rho FROM res"""
 
 ORACLES["group_effects"] = f"""
@@ -663,12 +663,17 @@ ORACLES["forecast_audit"] = f"""
 WITH {OFFERS}, {model(2001, 'year < 2001')}, {model(2002, suffix='_n')}, {_pairs('model')},
 s AS (SELECT county, count(*) AS matched, count(*) FILTER (outcome BETWEEN cutoff - {Z_80} * sd AND cutoff + {Z_80} * sd) AS covered,
              CAST(sum(abs(outcome_h - cutoff_h)) AS BIGINT) AS err FROM pairs GROUP BY county),
+c AS (
+  SELECT m.county, coalesce(matched, 0) AS matched, coalesce(covered, 0) AS covered, coalesce(err, 0) AS err
+  FROM model m LEFT JOIN s ON m.county = s.county),
 t AS (
-  SELECT s.county, matched, covered, err, n.sd AS next_sd, h.shift AS observed_shift
-  FROM s JOIN model_n n ON s.county = n.county LEFT JOIN shift_n h ON h.county = s.county AND h.year = 2001
-  UNION ALL SELECT 'ALL', CAST(sum(matched) AS BIGINT), CAST(sum(covered) AS BIGINT), CAST(sum(err) AS BIGINT), NULL, NULL FROM s)
-SELECT county, matched, covered, round(err / 100, 6) AS absolute_error, round(covered / matched, 6) AS coverage,
-       round(err / 100 / matched, 6) AS mae, round(next_sd, 6) AS next_sd, round(observed_shift, 6) AS observed_shift FROM t"""
+  SELECT c.county, matched, covered, err, n.sd AS next_sd, h.shift AS observed_shift
+  FROM c JOIN model_n n ON c.county = n.county LEFT JOIN shift_n h ON h.county = c.county AND h.year = 2001
+  UNION ALL SELECT 'ALL', CAST(sum(matched) AS BIGINT), CAST(sum(covered) AS BIGINT), CAST(sum(err) AS BIGINT), NULL, NULL FROM c)
+SELECT county, matched, covered, round(err / 100, 6) AS absolute_error,
+       CASE WHEN matched > 0 THEN round(covered / matched, 6) END AS coverage,
+       CASE WHEN matched > 0 THEN round(err / 100 / matched, 6) END AS mae,
+       round(next_sd, 6) AS next_sd, round(observed_shift, 6) AS observed_shift FROM t"""
 
 ORACLES["minority_share"] = f"""
 WITH {CANDIDATES}

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
+"""Registered queries against their SQL on small tables.
 
 ``tools/compare.py`` runs all of them at any scale; this keeps one of each kind.
 """
@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as registry
 
-FOLDER = Path("/root/testdata/sf0.001")
+FOLDER = Path("/root/testdata/sf0.01")
 PICKED = (
     "verify_media", "contract_violations", "snapshot_equality", "fit_cutoff_model", "score_candidates",
     "answer_summary", "answer_topk", "course_history", "residual_rho", "predict_marks", "forecast_audit",
