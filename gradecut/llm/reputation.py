@@ -115,13 +115,14 @@ def _strength(children: DataFrame, mean: str) -> Column:
     return F.coalesce(F.when(more > 0, 1 / held - 1), F.lit(MOST_STRENGTH))
 
 
-def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """children with ``mean`` (posterior mean) and ``weight`` (posterior strength).
+def _under(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """children with ``prior``, the posterior mean of their parent (key, mean)."""
+    return children.join(parents.select(key, F.col("mean").alias("prior")), key)
 
-    parents: key, mean. The strength is one number for the level.
-    """
-    known = children.join(parents.select(F.col(key).alias("_up"), F.col("mean").alias("prior")), F.col(key) == F.col("_up")).drop("_up")
-    known = cut_lineage(known)
+
+def _shrunk(children: DataFrame) -> DataFrame:
+    """children (n, k, prior) with ``mean`` (posterior mean), ``weight`` and the level's prior ``strength``."""
+    known = cut_lineage(children)
     strength = known.agg(_strength(known, "prior")).first()[0]
     return (
         known.withColumn("strength", F.lit(strength))
@@ -157,15 +158,12 @@ def reputations(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
         ).na.fill(0, ["n", "k"])
     )
     seen = counted.filter(F.col("n") > 0)
-    up = lambda key: seen.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    spark = hosts.sparkSession
     total = seen.agg(F.sum("k"), F.sum("n")).first()
     rate = (total[0] + 0.5) / (total[1] + 1) if total[1] else 0.5
-    everything = spark.createDataFrame([(1, rate)], "all int, mean double")
-    by_suffix = _shrunk(up("suffix").withColumn("all", F.lit(1)), everything, "all")
-    domains = seen.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    by_domain = _shrunk(domains, by_suffix, "suffix")
-    by_host = _shrunk(seen, by_domain, "domain")
+    sums = F.sum("n").alias("n"), F.sum("k").alias("k")
+    by_suffix = _shrunk(seen.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(rate)))
+    by_domain = _shrunk(_under(seen.groupBy("domain", "suffix").agg(*sums), by_suffix, "suffix"))
+    by_host = _shrunk(_under(seen, by_domain, "domain"))
     best = (
         counted.select("host", "domain", "suffix")
         .join(by_host.select("host", F.struct("mean", "weight").alias("_host")), "host", "left")
