@@ -57,6 +57,9 @@ BOILERPLATE_WORDS = frozenset(
 HEADER_WORDS = frozenset(["header", "masthead", "banner"])
 # Share of words inside the article to start from, by place; other blocks start from one half.
 KNOWN = {"boilerplate": 0.01, "p": 0.8, "h1": 0.8, "h2": 0.7, "h3": 0.7, "blockquote": 0.8, "pre": 0.7, "li": 0.4, "body": 0.2}
+# Tags that articles are made of, and the share of them inside to start from; other tags start from one half.
+ARTICLE_TAGS = frozenset("p br b i em strong h1 h2 h3 h4 h5 h6 blockquote".split())
+ARTICLE_TAG_SHARE = 0.95
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
@@ -67,6 +70,11 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'(
 _PARTS = re.compile(r"[a-z]+")
 
 
+def known_tag(name: str) -> float:
+    """Share of a tag inside articles to start from."""
+    return ARTICLE_TAG_SHARE if name in ARTICLE_TAGS else 0.5
+
+
 @dataclass(frozen=True)
 class Weights:
     """Score of a word by its place and of a tag by its name."""
@@ -78,7 +86,7 @@ class Weights:
         return self.words.get(place, 2 * KNOWN.get(place, 0.5) - 1)
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, -TAG_COST / 2)
+        return self.tags.get(name, -TAG_COST * (1 - known_tag(name)))
 
 
 @dataclass(frozen=True)
@@ -239,7 +247,7 @@ def fit(pages: DataFrame) -> Weights:
     )
     words, tags = {}, {}
     for tag, name, inside, outside in counts:
-        prior = 0.5 if tag else KNOWN.get(name, 0.5)
+        prior = known_tag(name) if tag else KNOWN.get(name, 0.5)
         share = (inside + PRIOR_WEIGHT * prior) / (inside + outside + PRIOR_WEIGHT)
         if tag:
             tags[name] = -TAG_COST * (1 - share)
