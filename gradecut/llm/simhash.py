@@ -351,11 +351,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
             F.min(F.struct("doc_id", "text_hash")).alias("chosen"), F.count("*").alias("rows")
         )
     )
-    key, mark = fresh(documents, "_text_hash"), fresh(documents, "_rows")
-    ids = chosen.select(F.col("chosen.doc_id").alias("_id"), F.col("chosen.text_hash").alias("_hash"), F.col("rows").alias("_many"))
+    key, mark = fresh(documents, "_text_hash"), fresh(documents, "_chosen")
+    ids = chosen.select(F.struct("chosen.*", "rows").alias(mark))
     hashed = documents.withColumn(key, F.xxhash64("text"))
-    joined = hashed.join(ids, hashed["doc_id"].eqNullSafe(ids["_id"]) & (hashed[key] == ids["_hash"]))
-    joined = joined.withColumn(mark, F.col("_many")).drop("_id", "_hash", "_many")
-    single = joined.filter(F.col(mark) == 1)
-    several = joined.filter(F.col(mark) > 1).dropDuplicates(["doc_id", key])
+    same = hashed["doc_id"].eqNullSafe(ids[mark]["doc_id"]) & (hashed[key] == ids[mark]["text_hash"])
+    joined = hashed.join(ids, same)
+    single = joined.filter(F.col(mark)["rows"] == 1)
+    several = joined.filter(F.col(mark)["rows"] > 1).dropDuplicates(["doc_id", key])
     return single.unionByName(several).select(*documents.columns)

@@ -83,7 +83,7 @@ def test_edges(spark):
     assert got == brute_documents(odd.ROWS)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6, 7, 8]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, _, c in got}, key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
