@@ -71,7 +71,7 @@ def media_cell_error(raw: Column) -> Column:
     return (
         F.when(raw.isNull(), "missing cell")
         .when(text.isin(*EMPTY_CELLS), F.lit(None).cast("string"))
-        .when(value.isNull(), F.concat(F.lit("unrecognized media cell "), raw))
+        .when(value.isNull(), F.concat(F.lit("cell holds no mark "), raw))
         .when(~in_scale_h(value), F.concat(F.lit("media outside 1..10: "), raw))
     )
 
@@ -109,9 +109,17 @@ def format_media_h(mark_h: Column) -> Column:
     return F.when(mark_h.isNull(), "").otherwise(text)
 
 
+# What a sheet writes for a number: digits, a fraction, an exponent; no type suffix, no hexadecimal.
+_SHEET_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"
+
+
+def _sheet_text(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"^{ANY_SPACE}+|{ANY_SPACE}+\\z", "")
+
+
 def sheet_grade_error(raw: Column) -> Column:
-    text = F.trim(raw)
-    value = text.try_cast("double")
+    text = _sheet_text(raw)
+    value = F.when(text.rlike(_SHEET_NUMBER), text.try_cast("double"))
     hundredths = F.floor(value * 100 + 0.5)
     return (
         F.when(raw.isNull() | text.isin("", "-"), F.lit(None).cast("string"))
@@ -122,7 +130,7 @@ def sheet_grade_error(raw: Column) -> Column:
 
 def parse_sheet_grade(raw: Column, on_error: str = "raise") -> Column:
     """A grade cell of a double-typed sheet, to hundredths, shedding the binary noise."""
-    text = F.trim(raw)
+    text = _sheet_text(raw)
     error = sheet_grade_error(raw)
     bad = F.raise_error(error).cast("bigint") if on_error == "raise" else F.lit(None).cast("bigint")
     value = F.floor(text.try_cast("double") * 100 + 0.5).cast("bigint")

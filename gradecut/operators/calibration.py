@@ -232,7 +232,7 @@ def calibrate(
     """Knot table and residual correlation; the results are read once."""
     sums = cut_lineage(mark_sums(results, group))
     if sums.isEmpty():
-        raise ValueError("no candidates counted toward the calibration")
+        raise ValueError("nobody has both marks that a calibration needs")
     knots = cut_lineage(calibrate_knots(sums, group, params))
     if knots.isEmpty():
         raise ValueError(f"no bin holds {params.min_count} candidates, the calibration has no knots")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradecut.functions import keys
+from gradecut.functions.marks import ANY_SPACE
 from gradecut.functions.text import matches_search
 from gradecut.operators.columns import OfferCols
 from gradecut.operators.matching import course_history
@@ -23,6 +24,9 @@ from gradecut.params import (
     SCHEMA_VERSION,
     TRACKS,
 )
+from gradecut.session import shared_path
+
+PADDED = f"^{ANY_SPACE}|{ANY_SPACE}\\z"
 
 # (rule, column, condition that holds when the rule is broken, message)
 Rule = tuple[str, str, Column, str]
@@ -33,13 +37,17 @@ class ContractError(ValueError):
 
 
 def assert_clean(violations: DataFrame, what: str, shown: int = 100) -> None:
-    """One action: fail with every violation, of which the message shows the first ones."""
+    """Fail if there is any violation. The message shows the first ones; when there are more,
+    all of them are in a table that it names."""
     found = violations.limit(shown + 1).collect()
     if not found:
         return
     lines = [f"  {row['dataset']} {row['path']}: {row['message']}" for row in found[:shown]]
     if len(found) > shown:
-        lines.append(f"  ... {violations.count()} violations in all")
+        path = shared_path(violations.sparkSession, "violations")
+        violations.write.parquet(path)
+        total = violations.sparkSession.read.parquet(path).count()
+        lines.append(f"  ... all {total} violations are in {path}")
     raise ContractError(f"{what} broke its contract:\n" + "\n".join(lines))
 
 
@@ -75,7 +83,7 @@ def offer_rules() -> list[Rule]:
     for name in ("profile", "limba"):
         rules.append(("text", name, c(name).isNull(), "expected text"))
     for name in ("school_name", "spec_label", "profile", "limba"):
-        rules.append(("trimmed", name, c(name) != F.trim(c(name)), "expected trimmed text"))
+        rules.append(("trimmed", name, c(name).rlike(PADDED), "white space at an end"))
     mark = c("last_media_h")
     rules += [
         ("seats", "seats", c("seats").isNull() | (c("seats") < 0), "expected a count"),
@@ -130,7 +138,7 @@ def dataset_violations(datasets: DataFrame, offers: DataFrame) -> DataFrame:
             "sources",
             "sources",
             (c("provenance") == "synthetic") & (F.size("sources") > 0),
-            "synthetic datasets must not cite sources",
+            "made-up data cannot have sources",
         ),
     ]
     name = F.concat_ws("/", c("year").cast("string"), "county")
@@ -219,7 +227,7 @@ def history_violations(
 def assert_history(offers: DataFrame, target_year: int, cols: OfferCols = OfferCols(), **kwargs) -> None:
     """Fail if there is no history, or one that cannot be fitted."""
     if offers.isEmpty():
-        raise ContractError("cannot fit a model with no history")
+        raise ContractError("there is no history to fit")
     assert_clean(history_violations(offers, target_year, cols, **kwargs), "cutoff history")
 
 

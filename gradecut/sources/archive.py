@@ -10,30 +10,36 @@ from gradecut.functions.marks import media_cell_error, parse_media_cell
 from gradecut.functions.text import normalize_text, track_of
 from gradecut.schemas import OFFER, RAW_ALLOCATION
 
+# File names of the snapshots, and the host that serves them.
 _FILE = r"^(\d{4})-([A-Z]{1,2})\.json$"
-_SITE = "static.admitere.edu.ro"
+SITE = "static.admitere.edu.ro"
+_RECORDS = "array<map<string,string>>"
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Raw records with year and county from the file name and the URL from its sidecar.
 
-    Files of other names are skipped; a snapshot without a sidecar, or no snapshot at all,
-    is an error.
+    Files of other names are skipped; a snapshot without records or without a sidecar, or no
+    snapshot at all, is an error. ``um_given`` says whether a record has the cutoff's key: a null
+    under it means that no cutoff was published, its absence that the record is incomplete.
     """
-    raw = (
-        spark.read.schema(RAW_ALLOCATION)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
+    files = (
+        spark.read.option("wholetext", True)
         .option("pathGlobFilter", "*.json")
-        .json(folder)
-        .select("*", F.col("_metadata.file_name").alias("file"))
+        .text(folder)
+        .select("value", F.col("_metadata.file_name").alias("file"))
         .filter(F.col("file").rlike(_FILE))
-        .withColumns(
-            {
-                "year": F.regexp_extract("file", _FILE, 1).cast("int"),
-                "county": F.regexp_extract("file", _FILE, 2),
-            }
-        )
+        .withColumn("_records", F.from_json("value", _RECORDS, {"mode": "FAILFAST"}))
+        .drop("value")
+    )
+    _none_lost(files.filter(F.coalesce(F.size("_records"), F.lit(0)) <= 0).select("file"), "snapshots without records")
+    record = F.col("_record")
+    raw = files.select("file", F.explode("_records").alias("_record")).select(
+        *[F.try_element_at(record, F.lit(n)).alias(n) for n in RAW_ALLOCATION.fieldNames()],
+        F.map_contains_key(record, "um").alias("um_given"),
+        "file",
+        F.regexp_extract("file", _FILE, 1).cast("int").alias("year"),
+        F.regexp_extract("file", _FILE, 2).alias("county"),
     )
     sidecars = (
         spark.read.option("wholetext", True)
@@ -46,43 +52,50 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
     if raw.isEmpty():
         raise ValueError(f"no snapshots in {folder}")
-    lost = raw.select("file").distinct().join(sidecars, "file", "left_anti").limit(20).collect()
-    if lost:
-        raise ValueError("snapshots without a URL sidecar: " + ", ".join(r["file"] for r in lost))
+    _none_lost(files.select("file").join(sidecars, "file", "left_anti"), "snapshots without a URL sidecar")
     return raw.join(sidecars, "file")
 
 
+def _none_lost(files: DataFrame, what: str) -> None:
+    """Fail if there are any such files; the archive has one for each year and county."""
+    lost = sorted(r["file"] for r in files.collect())
+    if lost:
+        raise ValueError(f"{len(lost)} {what}: " + ", ".join(lost))
+
+
 def _count(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
 
 
-def parse_records(raw: DataFrame) -> DataFrame:
+def parse_records(raw: DataFrame, site: str = SITE) -> DataFrame:
     """Typed offer columns plus ``error``, the first reason a record is refused, or null."""
     names = ("j", "c", "l", "lc", "sp", "lp", "lb", "nlt", "nlo", "fi", "p", "f", "n", "d", "um")
     text = raw.withColumns({f"_{n}": normalize_text(F.col(n)) for n in names})
     c = F.col
     url = F.concat(
-        F.lit(f"{_SITE}/"), c("year").cast("string"), F.lit("/repartizare/"), c("county"),
+        F.lit(f"{site}/"), c("year").cast("string"), F.lit("/repartizare/"), c("county"),
         F.lit("/data/specialization.json"),
     )
     required = ("j", "c", "l", "lc", "sp", "lp", "lb", "nlt", "nlo", "fi", "p", "f")
     cell = F.coalesce(c("um"), F.lit("-"))
     dual = F.coalesce(c("_d"), F.lit("NU"))
+    given = c("um_given") if "um_given" in raw.columns else F.lit(True)
     error = F.when(
         ~F.regexp_replace("source_url", r"^https?://|[?#].*$", "").eqNullSafe(url),
-        "the source URL names another county or year",
+        "source_url: belongs to another snapshot",
     )
     for name in required:
-        error = error.when(c(f"_{name}").isNull() | (c(f"_{name}") == ""), f"missing {name}")
+        error = error.when(c(f"_{name}").isNull() | (c(f"_{name}") == ""), f"{name}: no text")
     error = (
-        error.when(c("_j") != c("county"), "wrong county")
-        .when(c("_fi") != "Zi", "unsupported attendance form")
-        .when(c("n").isNotNull() & (c("_n") != "Liceal"), "unsupported level")
-        .when(~dual.isin("DA", "NU"), "invalid dual flag")
-        .when(track_of(c("_f")).isNull(), "unknown track")
-        .when(_count(c("_nlt")).isNull(), "invalid nlt")
-        .when(_count(c("_nlo")).isNull(), "invalid nlo")
-        .when((c("_um") == "") | media_cell_error(cell).isNotNull(), "invalid current cutoff")
+        error.when(c("_j") != c("county"), "j: not the county of the file")
+        .when(c("_fi") != "Zi", "fi: only day classes are read")
+        .when(c("n").isNotNull() & (c("_n") != "Liceal"), "n: only upper secondary is read")
+        .when(~dual.isin("DA", "NU"), "d: neither DA nor NU")
+        .when(track_of(c("_f")).isNull(), "f: no such track")
+        .when(_count(c("_nlt")).isNull(), "nlt: not a count")
+        .when(_count(c("_nlo")).isNull(), "nlo: not a count")
+        .when(~given, "um: key is absent")
+        .when((c("_um") == "") | media_cell_error(cell).isNotNull(), "um: not a mark")
     )
     track = track_of(c("_f"))
     return text.select(
@@ -119,7 +132,7 @@ def record_violations(parsed: DataFrame) -> DataFrame:
         F.col("file").alias("dataset"),
         where.alias("path"),
         F.lit("unique").alias("rule"),
-        F.lit("duplicate specialization").alias("message"),
+        F.lit("the course is listed again").alias("message"),
     )
     return refused.unionByName(twice)
 

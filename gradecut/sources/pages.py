@@ -14,7 +14,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows as JSON lines; a missing store is an empty one."""
     try:
         return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST)
 
 
@@ -49,9 +51,11 @@ def read_fixture_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_replace("file", r"\.url$", "").alias("file"), F.trim(F.regexp_replace("html", r"\s+", "")).alias("url")
     )
     known = sidecars.filter("url <> ''")
-    lost = bodies.join(known, "file", "left_anti").select("file").limit(20).collect()
-    if lost:
-        raise ValueError("pages without a URL sidecar: " + ", ".join(r["file"] for r in lost))
+    lost = bodies.join(known, "file", "left_anti").select("file")
+    total = lost.count()
+    if total:
+        some = ", ".join(r["file"] for r in lost.limit(20).collect())
+        raise ValueError(f"{total} pages without a URL sidecar, among them {some}")
     return bodies.join(known, "file").select("file", *PAGE.fieldNames())
 
 

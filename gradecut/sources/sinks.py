@@ -113,7 +113,9 @@ def current_generation(spark: SparkSession, root: str) -> str | None:
     """Name of the newest complete generation."""
     try:
         newest = spark.read.parquet(f"{root}/published").orderBy(F.col("published_at").desc()).first()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return None if newest is None else newest["generation"]
 

@@ -82,7 +82,7 @@ def test_rho_and_effects_equal_brute_force(spark):
 
 
 def test_no_eligible_result_is_an_error(spark):
-    with pytest.raises(ValueError, match="no candidates"):
+    with pytest.raises(ValueError, match="nobody"):
         calibration.calibrate(spark.createDataFrame([], RESULT))
     with pytest.raises(ValueError, match="no knots"):
         calibration.calibrate(results(spark, 500)[0], params=CalibrationParams(min_count=10**6))

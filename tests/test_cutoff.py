@@ -204,7 +204,7 @@ def test_history_guards(spark):
         contracts.assert_history(history(spark, [10], start=2021), 2027)
     with pytest.raises(contracts.ContractError, match="integer"):
         contracts.assert_history(df, float("nan"))
-    with pytest.raises(contracts.ContractError, match="no history"):
+    with pytest.raises(contracts.ContractError, match="no history to fit"):
         contracts.assert_history(df.limit(0), 2027)
     twice = df.withColumn("file", F.lit("a")).unionByName(df.filter("year = 2026").withColumn("file", F.lit("b")))
     with pytest.raises(contracts.ContractError, match="twice"):

@@ -46,9 +46,10 @@ def test_archive(spark, tmp_path):
 @pytest.mark.parametrize(
     "changes, reason",
     [
-        ({"j": "BV"}, "wrong county"), ({"fi": "Seral"}, "attendance"), ({"n": "Postliceal"}, "level"),
-        ({"d": "POATE"}, "dual"), ({"f": "Alta"}, "track"), ({"nlt": "2x"}, "nlt"), ({"um": "abc"}, "cutoff"),
-        ({"um": "11"}, "cutoff"), ({"l": " "}, "missing l"), ({"sp": "absent"}, "missing sp"), ({"um": ""}, "cutoff"),
+        ({"j": "BV"}, "j: "), ({"fi": "Seral"}, "fi: "), ({"n": "Postliceal"}, "n: "),
+        ({"d": "POATE"}, "d: "), ({"f": "Alta"}, "f: "), ({"nlt": "2x"}, "nlt: "), ({"um": "abc"}, "um: not"),
+        ({"um": "11"}, "um: not"), ({"l": " "}, "l: no text"), ({"sp": "absent"}, "sp: no text"),
+        ({"um": ""}, "um: not"), ({"um": "absent"}, "um: key"),
     ],
 )
 def test_refused_records(spark, tmp_path, changes, reason):
@@ -65,10 +66,14 @@ def test_archive_failures(spark, tmp_path):
     assert [r["rule"] for r in archive.record_violations(parsed).collect()] == ["unique"]
     store(tmp_path, 2026, "SB", [record()], url=URL.format(year=2025, county="SB"))
     parsed = archive.parse_records(archive.read_snapshots(spark, str(tmp_path)))
-    assert parsed.filter("year = 2026 and error like '%source URL%'").count() == 1
+    assert parsed.filter("year = 2026 and error like 'source_url%'").count() == 1
     (tmp_path / "2024-BV.json").write_text(json.dumps([record()]))
     with pytest.raises(ValueError, match="2024-BV"):
         archive.read_snapshots(spark, str(tmp_path))
+    (tmp_path / "2024-BV.json.url").write_text(URL.format(year=2024, county="BV"))
+    store(tmp_path, 2023, "CJ", [])
+    with pytest.raises(ValueError, match="without records: 2023-CJ"):
+        archive.read_snapshots(spark, str(tmp_path))
     empty = tmp_path / "empty"
     empty.mkdir()
     (empty / "x.json").write_text("[]")
