@@ -168,15 +168,22 @@ def looks_like_year(url: Column, text: Column, year: Column) -> Column:
     return F.rlike(haystack, F.concat(F.lit("\\b"), year.cast("string"), F.lit("\\b")))
 
 
+def _bare_words(text: Column) -> Column:
+    """Lower-case words without Romanian diacritics, each between two spaces."""
+    plain = F.translate(F.lower(text), "ăâîșşțţ", "aaisstt")
+    return F.concat(F.lit(" "), F.regexp_replace(plain, "[^a-z]+", " "), F.lit(" "))
+
+
 def looks_like_county(url: Column, text: Column, county: Column, names: bool = True) -> Column:
-    """The county code as a word of its own, or the county's name anywhere, in any case."""
+    """The county code or the county's name as words of their own, in any case and, for the
+    name, with or without diacritics."""
     haystack = F.concat_ws(" ", url, text)
     by_code = F.rlike(haystack, F.concat(F.lit("(?i)\\b"), county, F.lit("\\b")))
     if not names:
         return by_code
     name = county_name(F.upper(county))
     known = name != F.upper(county)
-    return by_code | (known & F.contains(F.lower(haystack), F.lower(name)))
+    return by_code | (known & F.contains(_bare_words(haystack), _bare_words(name)))
 
 
 def short_hash(text: Column, length: int = 6) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradecut.functions import urls
 from gradecut.functions.marks import ANY_SPACE
-from gradecut.operators.ranking import pick_representative
-from gradecut.params import MAX_PAGES
+from gradecut.operators.ranking import pick_representative, rank_within
 from gradecut.session import cut_lineage, shared_path
 
 # Fixed value: an anchor with its target in any quoting, and what it encloses.
@@ -61,11 +61,17 @@ def extract_links(
     )
 
 
-def dedupe_pages(pages: DataFrame, url: str = "url") -> DataFrame:
-    """One page per canonical address."""
-    return pages.withColumn("canonical_url", urls.canonical_url(F.col(url))).dropDuplicates(
-        ["canonical_url"]
-    )
+def dedupe_pages(pages: DataFrame, url: str = "url", order: str = "fetched_at") -> DataFrame:
+    """One page per canonical address, the one that was fetched first.
+
+    Rows that say the same about ``order``, or have no such column, are told apart by their
+    remaining columns, so the choice is the same in every run.
+    """
+    addressed = pages.withColumn("canonical_url", urls.canonical_url(F.col(url)))
+    first = [F.col(order)] if order in pages.columns else []
+    row = F.struct(*first, *[F.col(c).alias(f"_{i}") for i, c in enumerate(pages.columns)])
+    kept = addressed.groupBy("canonical_url").agg(F.min(row).alias("_row"))
+    return kept.select(*[F.col(f"_row._{i}").alias(c) for i, c in enumerate(pages.columns)], "canonical_url")
 
 
 def discover(links: DataFrame, crawls: DataFrame, names: bool = True) -> DataFrame:
@@ -94,25 +100,36 @@ def discover(links: DataFrame, crawls: DataFrame, names: bool = True) -> DataFra
     )
 
 
-def discovery_failures(
-    links: DataFrame, crawls: DataFrame, found: DataFrame, shown: int = 40
-) -> DataFrame:
-    """Crawls that led nowhere, with the first links of their seed page for the report."""
+def discovery_failures(links: DataFrame, crawls: DataFrame, found: DataFrame) -> DataFrame:
+    """Crawls that led nowhere, with all links of their seed page for the report.
+
+    A seed's links are listed once, from the one page that has them, and then handed to every
+    crawl that failed on it.
+    """
     lost = crawls.join(found.select("crawl").distinct(), "crawl", "left_anti")
-    seen = lost.join(links.withColumnRenamed("source", "seed"), "seed", "left")
-    first = Window.partitionBy("crawl").orderBy("position")
-    listed = seen.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= shown)
-    return listed.groupBy("crawl", "year", "county").agg(
-        F.array_sort(F.collect_list(F.struct("position", "url", "text"))).alias("links_seen")
+    seen = (
+        links.join(lost.select(F.col("seed").alias("source")).distinct(), "source", "left_semi")
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "url", "text"))).alias("links_seen"))
     )
+    none = F.array().cast(seen.schema["links_seen"].dataType)
+    return lost.join(seen, F.col("seed") == F.col("source"), "left").select(
+        "crawl", "year", "county", F.coalesce("links_seen", none).alias("links_seen")
+    )
+
+
+def assert_discovered(failures: DataFrame) -> None:
+    """Fail when a crawl led nowhere; the error names all such crawls by year and county."""
+    lost = failures.select("year", "county").distinct().orderBy("year", "county").collect()
+    if lost:
+        raise ValueError("nothing discovered for " + ", ".join(f"{r['year']}/{r['county']}" for r in lost))
 
 
 def descend(
     links: DataFrame,
     starts: DataFrame,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     pages: DataFrame | None = None,
-    max_depth: int = 1000,
 ) -> DataFrame:
     """Breadth-first from each crawl's start pages along links that stay in the directory
     of the page they were found on, or below it.
@@ -120,8 +137,10 @@ def descend(
     ``starts`` has crawl, url and ``place`` (order of the start pages). Each level is one
     join of the frontier with the links and one anti-join with what was reached, written
     out before the next level so that the plan stays short and survives lost executors.
-    ``max_pages`` caps each crawl in breadth-first order; ``None`` follows everything.
-    Returns crawl, url, depth and place (order inside the depth).
+    It goes on until a level brings nothing new. ``max_pages`` caps each crawl in
+    breadth-first order; ``None`` follows everything. Returns crawl, url, depth, place (the
+    places of the links that led there, which order a depth) and ``truncated``: whether the
+    cap left pages of that crawl out.
     """
     below = links.filter(urls.under_directory(F.col("url"), F.col("source")))
     if pages is not None:
@@ -130,57 +149,66 @@ def descend(
         below.select(F.col("source").alias("_source"), F.col("url").alias("_url"), F.col("position").alias("_at"))
     )
     spark = links.sparkSession
-    folder = shared_path(spark, "reached")
-    schema = starts.select("crawl", "url", F.lit(0).cast("bigint").alias("place")).schema
+    folder, cut = shared_path(spark, "reached"), shared_path(spark, "cut")
+    schema = starts.select("crawl", "url", F.array(F.lit(0)).alias("place")).schema
 
     def keep(level: DataFrame, depth: int) -> DataFrame:
         """Add a level to the folder of what was reached, and read it back."""
         level.select("crawl", "url", "place").write.parquet(f"{folder}/depth={depth}")
         return spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
 
-    first = starts.groupBy("crawl", "url").agg(F.min("place").cast("bigint").alias("place"))
-    frontier = keep(first, 0)
-    for depth in range(1, max_depth + 1):
+    first = starts.groupBy("crawl", "url").agg(F.array(F.min("place").cast("int")).alias("place"))
+    frontier = keep(first if max_pages is None else _capped(first, first.limit(0), max_pages, cut), 0)
+    for depth in count(1):
         reached = spark.read.parquet(folder)
         candidates = frontier.join(below, F.col("url") == F.col("_source")).select(
-            "crawl", F.col("_url").alias("url"), F.struct(F.col("place"), F.col("_at")).alias("_order")
+            "crawl", F.col("_url").alias("url"), F.concat("place", F.array(F.col("_at").cast("int"))).alias("place")
         )
-        fresh = candidates.groupBy("crawl", "url").agg(F.min("_order").alias("_order"))
+        fresh = candidates.groupBy("crawl", "url").agg(F.min("place").alias("place"))
         fresh = fresh.join(reached.select("crawl", "url"), ["crawl", "url"], "left_anti")
-        if max_pages is None:
-            # The order only matters to a cap; without one any distinct number will do.
-            level = fresh.withColumn("place", F.monotonically_increasing_id())
-        else:
-            in_order = Window.partitionBy("crawl").orderBy("_order")
-            room = reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("_used"))
-            level = (
-                fresh.withColumn("place", F.row_number().over(in_order).cast("bigint"))
-                .filter(F.col("place") <= max_pages)
-                .join(room, "crawl")
-                .filter(F.col("place") + F.col("_used") <= max_pages)
-            )
-        frontier = keep(level, depth)
+        frontier = keep(fresh if max_pages is None else _capped(fresh, reached, max_pages, cut), depth)
         if frontier.isEmpty():
             break
-    return spark.read.parquet(folder).select("crawl", "url", F.col("depth").cast("int").alias("depth"), "place")
+    found = spark.read.parquet(folder).select("crawl", "url", F.col("depth").cast("int").alias("depth"), "place")
+    if max_pages is None:
+        return found.withColumn("truncated", F.lit(False))
+    lost = spark.read.schema(starts.select("crawl").schema).parquet(cut).distinct().withColumn("_cut", F.lit(True))
+    return found.join(lost, "crawl", "left").withColumn("truncated", F.col("_cut").isNotNull()).drop("_cut")
+
+
+def _capped(fresh: DataFrame, reached: DataFrame, max_pages: int, cut: str) -> DataFrame:
+    """The pages of a level for which their crawl has room; crawls without it are noted in ``cut``."""
+    in_order = Window.partitionBy("crawl").orderBy("place", "url")
+    room = reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("_used"))
+    numbered = cut_lineage(
+        fresh.withColumn("_n", F.row_number().over(in_order)).join(room, "crawl", "left")
+    )
+    fits = F.col("_n") + F.coalesce("_used", F.lit(0)) <= max_pages
+    numbered.filter(~fits).select("crawl").distinct().write.mode("append").parquet(cut)
+    return numbered.filter(fits)
 
 
 def page_record(
-    reached: DataFrame, crawls: DataFrame, harvested_at: Column | None = None
+    reached: DataFrame, crawls: DataFrame, harvested_at: Column | None = None, per_part: int = 10_000
 ) -> DataFrame:
     """Per year and county: its county links and every page that belongs to it, in order.
 
-    A record holds at most the crawl's page cap.
+    A record comes in parts, numbered from 0, of at most ``per_part`` pages each, so that no
+    crawl has to fit into one row.
     """
     entry = F.struct("depth", "place", "url")
     joined = crawls.select("crawl", "year", F.upper("county").alias("county")).join(reached, "crawl")
-    records = joined.groupBy("year", "county").agg(
+    order = [F.col("depth"), F.col("place"), F.col("url")]
+    numbered = rank_within(joined, ["year", "county"], order, rank="_n", size="_size")
+    part = F.call_function("div", F.col("_n"), F.lit(per_part)).cast("int")
+    records = numbered.groupBy("year", "county", part.alias("part")).agg(
         F.array_sort(F.collect_list(entry)).alias("_all"),
     )
     start = F.filter("_all", lambda e: e["depth"] == 0)
     return records.select(
         "year",
         "county",
+        "part",
         F.transform(start, lambda e: e["url"]).alias("county_links"),
         F.transform("_all", lambda e: e["url"]).alias("pages"),
         (F.current_timestamp() if harvested_at is None else harvested_at).alias("harvested_at"),
@@ -241,8 +269,14 @@ def stage(
 
 
 def harvest_summary(results: DataFrame) -> DataFrame:
-    """Pages, newly staged files and failures per year."""
+    """Pages, newly staged files, failures and crawls cut at their page cap per year.
+
+    ``results`` has a row per crawl: year, pages, new_files, error and, where there was a cap,
+    truncated.
+    """
+    stopped = F.count_if("truncated") if "truncated" in results.columns else F.lit(0).cast("bigint")
     summary = results.groupBy("year").agg(
+        stopped.alias("stopped"),
         F.sum(F.coalesce("pages", F.lit(0))).alias("pages"),
         F.sum(F.coalesce("new_files", F.lit(0))).alias("new_files"),
         F.count_if(F.col("error").isNotNull()).alias("failed"),

@@ -15,7 +15,6 @@ MARK_MIN, MARK_MAX = 1.0, 10.0
 MARK_MIN_H, MARK_MAX_H = 100, 1000
 Z_80 = 1.2815515655446004
 MAX_SAVED = 500
-MAX_PAGES = 200
 
 # Every county code the contract admits: 26 one-letter and 676 two-letter codes.
 MAX_COUNTIES = 26 + 26 * 26

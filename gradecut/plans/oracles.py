@@ -765,8 +765,10 @@ SELECT page_id, url AS canonical, regexp_extract(bare, '^(.*/)', 1) AS directory
        host = 'example.com' OR host LIKE '%.example.com' AS same_site
 FROM s"""
 
-ORACLES["first_pages"] = "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS canonical_url FROM pages"
-ORACLES["stream_pages"] = ORACLES["first_pages"]
+ORACLES["first_pages"] = """
+SELECT regexp_replace(url, '#.*$', '') AS canonical_url, min(page_id) AS page_id, arg_min(md5(html), page_id) AS body
+FROM pages GROUP BY 1"""
+ORACLES["stream_pages"] = "SELECT DISTINCT regexp_replace(url, '#.*$', '') AS canonical_url FROM pages"
 
 _TREE = """
 nodes AS (SELECT page_id % 5 AS c, page_id // 5 AS j FROM pages),
@@ -775,17 +777,20 @@ walk AS (
   UNION ALL
   SELECT n.c, n.j, w.depth + 1, 0 FROM walk w JOIN nodes n ON n.c = w.c AND (n.j = 2 * w.j + 1 OR n.j = 2 * w.j + 2)),
 reached AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY depth, j) AS i FROM walk),
-kept AS (SELECT c AS crawl, concat('https://site.example.com/2024/c', c, '/', j, '.html') AS url, depth, i FROM reached WHERE i <= 200)"""
+kept AS (SELECT c AS crawl, concat('https://site.example.com/2024/c', c, '/', j, '.html') AS url, depth, i, j,
+                count(*) OVER (PARTITION BY c) > 20 AS truncated FROM reached)"""
 ORACLES["discover"] = """
 SELECT c AS crawl, 2024 AS year, concat('c', c) AS county,
        concat('https://site.example.com/2024/c', c, '/0.html') AS url, 'https://site.example.com/2024/' AS year_url
 FROM (SELECT DISTINCT page_id % 5 AS c FROM pages)"""
 ORACLES["descend"] = f"WITH RECURSIVE {_TREE} SELECT crawl, url, CAST(depth AS INTEGER) AS depth FROM kept"
+ORACLES["descend_capped"] = f"""
+WITH RECURSIVE {_TREE} SELECT crawl, url, CAST(depth AS INTEGER) AS depth, truncated FROM kept WHERE i <= 20"""
 ORACLES["page_record"] = f"""
 WITH RECURSIVE {_TREE}
-SELECT 2024 AS year, concat('C', crawl) AS county, count(*) FILTER (depth = 0) AS n_links, count(*) AS n_pages,
+SELECT 2024 AS year, concat('C', crawl) AS county, CAST((i - 1) // 40 AS INTEGER) AS part, count(*) FILTER (depth = 0) AS n_links, count(*) AS n_pages,
        md5(string_agg(url, chr(10) ORDER BY i)) AS digest
-FROM kept GROUP BY crawl"""
+FROM kept GROUP BY crawl, (i - 1) // 40"""
 ORACLES["scoped_pages"] = f"""
 WITH RECURSIVE {_TREE}
 SELECT url, concat(substr(sha1(url), 1, 16), '.html') AS file,
@@ -818,9 +823,10 @@ SELECT DISTINCT page_id % 5 + 100 AS crawl, 1999 AS year, concat('c', page_id %
 FROM pages"""
 ORACLES["harvest_summary"] = f"""
 WITH RECURSIVE {_TREE}
-SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(pages) AS BIGINT) AS new_files,
-       CAST(0 AS BIGINT) AS failed, count(*) AS crawls
-FROM (SELECT crawl, count(*) AS pages FROM kept GROUP BY crawl)"""
+SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(new_files) AS BIGINT) AS new_files,
+       CAST(0 AS BIGINT) AS failed, count(*) FILTER (truncated) AS stopped, count(*) AS crawls
+FROM (SELECT crawl, truncated, count(*) AS pages, count(*) FILTER (j % 3 <> 0) AS new_files
+      FROM kept WHERE i <= 20 GROUP BY crawl, truncated)"""
 ORACLES["sql_functions"] = f"""
 WITH {CANDIDATES},
 a AS (SELECT county, ((CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h) // 2

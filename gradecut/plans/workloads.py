@@ -37,6 +37,8 @@ EPOCH_YEAR = 1998
 MIN_COUNT = 2500
 TOP_N = 3
 NUDGE = 3e-10
+CAPPED = 20
+RECORD_PART = 40
 NEEDLES = ("eter", "écha", "über")
 GENERATED_AT = "2002-01-01T00:00:00Z"
 
@@ -643,26 +645,28 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses after dropping fragments, each once."""
-    pages = table(spark, sf_dir, "pages").select(urls.canonical_url(F.col("url"), keep_fragment=False).alias("url"))
-    return links.dedupe_pages(pages).select("canonical_url")
+    """Addresses after dropping fragments, each once, with the body that came first."""
+    pages = table(spark, sf_dir, "pages").select(
+        urls.canonical_url(F.col("url"), keep_fragment=False).alias("url"), "page_id", F.md5("html").alias("body")
+    )
+    return links.dedupe_pages(pages, order="page_id").select("canonical_url", "page_id", "body")
 
 
-def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _crawled(
+    spark: SparkSession, sf_dir: str, max_pages: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     store = views.page_store(spark, sf_dir)
     found = cut_lineage(links.extract_links(store))
     crawls = cut_lineage(views.crawls(spark, sf_dir))
-    starts = links.discover(found, crawls, names=False).select(
-        "crawl", "url", F.col("position").alias("place")
-    )
+    starts = links.discover(found, crawls).select("crawl", "url", F.col("position").alias("place"))
     stored = store.select("url")
-    return crawls, starts, links.descend(found, starts, pages=stored)
+    return crawls, starts, links.descend(found, starts, max_pages, pages=stored)
 
 
 @query
 def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_lineage(links.extract_links(views.page_store(spark, sf_dir)))
-    return links.discover(found, views.crawls(spark, sf_dir), names=False).select(
+    return links.discover(found, views.crawls(spark, sf_dir)).select(
         "crawl", "year", "county", "url", "year_url"
     )
 
@@ -674,7 +678,7 @@ def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.crawls(spark, sf_dir)
     absent = known.select((F.col("crawl") + 100).alias("crawl"), "seed", F.lit(1999).alias("year"), "county")
     crawls = known.unionByName(absent)
-    reached = links.discover(found, crawls, names=False)
+    reached = links.discover(found, crawls)
     failed = links.discovery_failures(found, crawls, reached)
     seen = F.array_join(F.transform("links_seen", lambda e: e["url"]), " ")
     return failed.select("crawl", "year", "county", seen.alias("seen"))
@@ -682,11 +686,17 @@ def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per year from the crawl, with the counties that stopped at the page cap."""
-    crawls, _, reached = _crawled(spark, sf_dir)
-    counted = crawls.join(reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("pages")), "crawl", "left")
-    results = counted.select(
-        "year", "pages", F.col("pages").alias("new_files"), F.when(F.col("pages").isNull(), "nothing found").alias("error")
+    """Pages per year of a capped crawl, the files newly staged, and the crawls the cap stopped."""
+    crawls, _, reached = _crawled(spark, sf_dir, CAPPED)
+    reached = cut_lineage(reached)
+    number = F.regexp_extract("url", "([0-9]+)[.]html$", 1).cast("int")
+    before = reached.filter(number % 3 == 0).select("url", F.concat(F.sha1("url"), F.lit(".html")).alias("file"))
+    picks = reached.join(crawls, "crawl").select("crawl", "county", "year", "url", F.col("depth").alias("pick_rank"))
+    staged = links.stage_names(picks, before)
+    files = staged.groupBy("crawl").agg(F.count_if(~F.col("existing")).alias("new_files"))
+    pages = reached.groupBy("crawl").agg(F.count(F.lit(1)).alias("pages"), F.bool_or("truncated").alias("truncated"))
+    results = crawls.join(pages, "crawl", "left").join(files, "crawl", "left").select(
+        "year", "pages", "new_files", "truncated", F.when(F.col("pages").isNull(), "nothing found").alias("error")
     )
     return links.harvest_summary(results)
 
@@ -708,16 +718,24 @@ def descend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.select("crawl", "url", "depth")
 
 
+@query
+def descend_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of every crawl in breadth-first order, and whether it had more."""
+    _, _, reached = _crawled(spark, sf_dir, CAPPED)
+    return reached.select("crawl", "url", "depth", "truncated")
+
+
 @query
 def page_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawls, _, reached = _crawled(spark, sf_dir)
-    records = links.page_record(reached, crawls, F.lit(GENERATED_AT))
+    records = links.page_record(reached, crawls, F.lit(GENERATED_AT), per_part=RECORD_PART)
     folder = shared_path(spark, "records")
     sinks.upsert_records(records, folder)
     stored = spark.read.parquet(folder)
     return stored.select(
         F.col("year").cast("int").alias("year"),
         "county",
+        "part",
         F.size("county_links").cast("bigint").alias("n_links"),
         F.size("pages").cast("bigint").alias("n_pages"),
         F.md5(F.array_join("pages", "\n")).alias("digest"),

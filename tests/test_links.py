@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gradecut.operators import links
@@ -80,8 +81,15 @@ def test_discovery_and_descent(spark):
         for crawl, start in ((1, "sb"), (2, "bv")):
             mine = [r["url"] for r in rows if r["crawl"] == crawl]
             assert mine == walk(store, f"{ROOT}2024/{start}/0.html", cap)
+            whole = walk(store, f"{ROOT}2024/{start}/0.html", 1000)
+            assert {r["truncated"] for r in rows if r["crawl"] == crawl} == {len(whole) > cap}
     free = links.descend(found, starts, max_pages=None, pages=df)
-    assert free.filter("crawl = 1").count() == 40
+    assert free.filter("crawl = 1").count() == 40 and free.filter("truncated").count() == 0
+    parts = links.page_record(free, crawls(spark), F.lit("now"), per_part=7).filter("county = 'SB'").orderBy("part").collect()
+    assert [len(r["pages"]) for r in parts] == [7, 7, 7, 7, 7, 5]
+    assert [u for r in parts for u in r["pages"]] == walk(store, ROOT + "2024/sb/0.html", 1000)
+    with pytest.raises(ValueError, match="nothing discovered for"):
+        links.assert_discovered(links.discovery_failures(found, crawls(spark), started))
     records = links.page_record(free, crawls(spark), F.lit("now")).collect()
     assert {r["county"]: len(r["pages"]) for r in records} == {"SB": 40, "BV": 2}
 
@@ -123,3 +131,17 @@ def test_summary(spark):
         assert "every year failed" in str(error)
     else:
         raise AssertionError("expected a failure")
+
+
+def test_first_fetched_page_stays(spark):
+    rows = [("https://h.ro/a#x", 3, "late"), ("https://h.ro/a", 1, "first"), ("https://h.ro/a", 2, "then"), ("https://h.ro/b", None, "b")]
+    df = spark.createDataFrame(rows, "url string, fetched_at int, html string").withColumn("url", F.regexp_replace("url", "#.*", ""))
+    assert {r["html"] for r in links.dedupe_pages(df).collect()} == {"first", "b"}
+
+
+def test_county_names_are_words(spark, one):
+    from gradecut.functions import urls
+
+    said = lambda text, code: one(urls.looks_like_county(F.lit("https://h.ro/p"), F.lit(text), F.lit(code)))
+    assert said("Rezultate Brasov 2024", "BV") and said("rezultate BRAȘOV", "BV") and said("Caras Severin", "CS")
+    assert not said("revolta", "OT") and said("Jud. Olt", "OT") and said("lista-ot", "OT")
