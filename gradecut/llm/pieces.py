@@ -45,13 +45,14 @@ CACHED_WORDS = 20_000
 
 TOGETHER = 24
 TOGETHER_CHARS = 40
-CHARS_AT_ONCE = 4_000_000
-WORDS_AT_ONCE = 8_192
+CHARS_AT_ONCE = 1_500_000
+IDS_AT_ONCE = 300_000
+WORDS_AT_ONCE = 4_096
 SLOT_BITS = 20
 HASH_BASE = 1_000_003
 
 EDIT = "struct<first:int,many:int,ids:array<int>>"
-RESULT = f"struct<ids:array<int>,scores:array<double>,alternatives:array<array<{EDIT}>>>"
+RESULT = f"struct<ids:array<int>,scores:array<double>,alternatives:array<array<{EDIT}>>,exact:boolean>"
 EDITS = pa.list_(pa.list_(pa.struct([("first", pa.int32()), ("many", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
 CUTS = "\n\r\t"
@@ -165,9 +166,12 @@ class Segmenter:
         self._vocabulary = vocabulary
         self._edges = {p: (vocabulary.scores[i], i) for i, p in enumerate(vocabulary.pieces) if p}
         self._longest = max(map(len, self._edges), default=1)
-        self._text_of = list(vocabulary.pieces)
-        self._byte_of = {i: b for b, i in enumerate(vocabulary.bytes_at)}
-        self._byte_ids = set(self._byte_of)
+        raw = [p.encode("utf-8", "surrogatepass") for p in vocabulary.pieces]
+        for byte, i in enumerate(vocabulary.bytes_at):
+            raw[i] = bytes([byte])
+        self._bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self._byte_counts = np.array([len(r) for r in raw], np.int64)
+        self._byte_begins = np.cumsum(self._byte_counts) - self._byte_counts
         self._table = PieceTable(vocabulary)
         alone = "".join(c for c in CUTS if not any(c in p for p in vocabulary.pieces))
         self._stretches = re.compile(f" *[^ {alone}]+| +|[{alone}]+" if alone else " *[^ ]+| +").findall
@@ -371,23 +375,26 @@ class Segmenter:
             scores.append(scores[0] - loss)
             edits.append([(place, list(choices[j][k][1])) for j, (place, k) in enumerate(zip(places, picks, strict=True)) if k])
 
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """UTF-8 bytes of each text, from the ids of all and how many each has."""
+        parts = []
+        for at in range(0, len(ids), IDS_AT_ONCE):
+            part = ids[at : at + IDS_AT_ONCE]
+            parts.append(self._bytes[_ranges(self._byte_begins[part], self._byte_counts[part])].tobytes())
+        raw = b"".join(parts)
+        reached = np.concatenate(([0], np.cumsum(self._byte_counts[ids])))
+        ends = reached[np.cumsum(counts)].tolist()
+        # the first byte is the space that was put before the text
+        return [raw[start + 1 : end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded to ``ids``."""
-        if not ids:
-            return ""
-        if self._byte_ids.isdisjoint(ids):
-            return "".join([self._text_of[i] for i in ids])[1:]
-        raw = bytearray()
-        for i in ids:
-            if i in self._byte_of:
-                raw.append(self._byte_of[i])
-            else:
-                raw += self._text_of[i].encode("utf-8", "surrogatepass")
-        return raw.decode("utf-8", "replace")[1:]
+        return self.decode_batch(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 def encode(text: Column, vocabulary: Vocabulary, spark, n: int = NBEST) -> Column:
-    """Ids of the best segmentation, the scores of the n best, and the others as edits of the best."""
+    """Ids of the best segmentation, the scores of the n best, the others as edits of the best, and
+    whether the ids decode to the text (they are decoded to tell)."""
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def make():
@@ -405,9 +412,11 @@ def encode(text: Column, vocabulary: Vocabulary, spark, n: int = NBEST) -> Colum
             yield texts
 
         def apply(batch: pa.Array) -> pa.Array:
-            flat, ends, scores, score_ends, others = [], [np.zeros(1, np.int64)], [], [0], []
+            flat, ends, scores, score_ends, others, exact = [], [np.zeros(1, np.int64)], [], [0], [], []
             for texts in chunks(batch):
                 stops, ids, found, edits = segmenter.encode_batch([t or "" for t in texts], n)
+                back = segmenter.decode_batch(ids, np.diff(stops, prepend=0))
+                exact += [b == (t or "").encode("utf-8", "surrogatepass") for b, t in zip(back, texts, strict=True)]
                 flat.append(ids)
                 ends.append(ends[-1][-1] + stops)
                 for one in found:
@@ -420,8 +429,9 @@ def encode(text: Column, vocabulary: Vocabulary, spark, n: int = NBEST) -> Colum
                     lists(np.concatenate(ends), pa.array(np.concatenate(flat))),
                     lists(score_ends, pa.array(scores, pa.float64())),
                     pa.array(others, EDITS),
+                    pa.array(exact),
                 ],
-                ["ids", "scores", "alternatives"],
+                ["ids", "scores", "alternatives", "exact"],
                 mask=batch.is_null(),
             )
 
@@ -438,14 +448,9 @@ def decode(ids: Column, vocabulary: Vocabulary, spark) -> Column:
         segmenter = _segmenter(sent.value)
 
         def apply(batch: pa.Array) -> pa.Array:
-            flat = batch.flatten().to_pylist()
-            texts, at = [], 0
-            for size in batch.value_lengths().to_pylist():
-                if size is None:
-                    texts.append(None)
-                    continue
-                texts.append(segmenter.decode(flat[at : at + size]))
-                at += size
+            texts: list[str | None] = []
+            for ids in batch:
+                texts.append(segmenter.decode(ids.values.to_numpy()) if ids.is_valid else None)
             return pa.array(texts, pa.string())
 
         return apply
@@ -466,6 +471,9 @@ def _segmenter(vocabulary: Vocabulary) -> Segmenter:
 
 
 def tokenize(documents: DataFrame, vocabulary: Vocabulary, n: int = NBEST) -> DataFrame:
-    """doc_id, ids of the best segmentation, scores of the n best, and the others as edits of the best."""
+    """doc_id, ids of the best segmentation, scores of the n best, the others as edits of the best, and
+    round_trip: whether the ids decode to the text (null for a null text)."""
     found = documents.select("doc_id", encode(F.col("text"), vocabulary, documents.sparkSession, n).alias("found"))
-    return found.select("doc_id", "found.ids", "found.scores", "found.alternatives")
+    return found.select(
+        "doc_id", "found.ids", "found.scores", "found.alternatives", F.col("found.exact").alias("round_trip")
+    )

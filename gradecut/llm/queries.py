@@ -3,7 +3,6 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gradecut.llm import chat, decontaminate, language, licenses, mainpage, pieces, reputation, simhash, topk, toxicity
 from gradecut.llm.common import held_out, read_table
@@ -65,18 +64,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n best segmentations of every document, and whether the best one decodes to its text."""
-    vocabulary = pieces.load_vocabulary()
-    documents = read_table(spark, sf_dir, "documents")
-    found = documents.select("doc_id", "text", pieces.encode(F.col("text"), vocabulary, spark).alias("found"))
-    back = found.select("doc_id", "text", "found", pieces.decode(F.col("found.ids"), vocabulary, spark).alias("back"))
-    return back.select(
-        "doc_id",
-        F.size("found.ids").alias("n_ids"),
-        F.col("back").eqNullSafe(F.col("text")).alias("round_trip"),
-        "found.ids",
-        "found.scores",
-        "found.alternatives",
-    )
+    return pieces.tokenize(read_table(spark, sf_dir, "documents"), pieces.load_vocabulary())
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
