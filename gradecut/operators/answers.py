@@ -121,9 +121,11 @@ def summaries(
     """The counts of ``cutoff.answer_summary`` for every candidate, one lookup each.
 
     A null mark is scored at probability one half, so it clears everything, all of it tight.
+    Candidates of a group without a model keep their row, with zero in every count.
     """
     profile = checked_broadcast(cutoff_profile(offers, models, cols), MAX_COUNTIES)
-    joined = candidates.join(profile, list(cols.group)).withColumn("_sd", _total_sd(media_sd))
+    joined = candidates.join(profile, list(cols.group), "left").withColumn("_sd", _total_sd(media_sd))
+    joined = joined.na.fill(0, ["answerable", "open", "aside"])
     none = F.lit(0).cast("bigint")
     chances = {"_p30": 0.3, "_p50": 0.5, "_p70": 0.7}
     highest = {name: _highest_cleared(F.col(media), F.col("_sd"), p) for name, p in chances.items()}
@@ -134,8 +136,8 @@ def summaries(
     return counted.select(
         *candidates.columns,
         "answerable",
-        F.when(unknown, F.col("answerable")).otherwise(F.col("_p50")).alias("clears"),
-        F.when(unknown, F.col("answerable")).otherwise(F.col("_p30") - F.col("_p70")).alias("tight"),
+        F.when(unknown, F.col("answerable")).otherwise(F.coalesce("_p50", none)).alias("clears"),
+        F.when(unknown, F.col("answerable")).otherwise(F.coalesce(F.col("_p30") - F.col("_p70"), none)).alias("tight"),
         "open",
         "aside",
     )
@@ -155,7 +157,10 @@ def best_courses(
 
     Per group and cutoff only the first ``count`` courses by name can ever be listed, and
     the window drops the rest before the shuffle. Each cutoff then owns one ready list;
-    a candidate takes the list of the highest cutoff cleared.
+    a candidate takes the list of the highest cutoff cleared. A candidate who reaches none, or
+    whose group has no model, keeps one row without a course. A null mark is scored at one
+    half and so takes the list from the top. The ready lists are broadcast if they hold at
+    most ``max_broadcast`` courses in all.
     """
     group, key = list(cols.group), list(cols.key)
     profile = cutoff_profile(offers, models, cols).select(*group, "model_sd", "slots")
@@ -183,17 +188,17 @@ def best_courses(
             F.slice("_list", F.col("_at"), count).alias("_top"),
         )
     )
-    tops = checked_broadcast(tops, max_broadcast)
+    tops = checked_broadcast(tops, max(1, max_broadcast // count))
     reach = _highest_cleared(F.col(media), _total_sd(media_sd), 0.5)
     top_mark = F.when(F.col(media).isNull(), F.lit(MARK_MAX_H).cast("bigint")).otherwise(reach)
     placed = (
-        candidates.join(profile, group)
+        candidates.join(profile, group, "left")
         .withColumn("_reach", top_mark)
         .withColumn("_slot", _on_grid("slots", F.col("_reach"), F.lit(None).cast("bigint")))
         .select(*candidates.columns, "_slot")
     )
-    listed = placed.join(tops, [*group, "_slot"])
-    return listed.select(*candidates.columns, F.posexplode("_top").alias("_i", "_c")).select(
+    listed = placed.join(tops, [*group, "_slot"], "left")
+    return listed.select(*candidates.columns, F.posexplode_outer("_top").alias("_i", "_c")).select(
         *candidates.columns,
         (F.col("_i") + 1).alias("position"),
         *[F.col(f"_c.{c}").alias(f"course_{c}") for c in key],

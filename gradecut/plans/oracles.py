@@ -448,10 +448,11 @@ ORACLES["answer_topk"] = f"""
 WITH {OFFERS}, {model(2002)}, {COURSES}, {CANDIDATES}, {_PRODUCT},
 top AS (
   SELECT *, row_number() OVER (PARTITION BY county, media_h ORDER BY last_media_h DESC, school, spec_id) AS rn
-  FROM pairs WHERE kind = 'estimate' AND p >= 0.5 AND media_h IS NOT NULL)
+  FROM pairs WHERE kind = 'estimate' AND p >= 0.5)
 SELECT c.candidate_id, c.county, c.media_h, CAST(rn AS INTEGER) AS position, t.school AS course_school,
        t.spec_id AS course_spec_id, t.last_media_h AS cutoff_h
-FROM candidates c JOIN top t ON c.county = t.county AND c.media_h = t.media_h WHERE rn <= 3"""
+FROM candidates c
+LEFT JOIN top t ON c.county = t.county AND c.media_h IS NOT DISTINCT FROM t.media_h AND t.rn <= 3"""
 
 ORACLES["answer_list"] = f"""
 WITH {OFFERS}, {model(2002)}, {COURSES}, {CANDIDATES},
@@ -584,10 +585,13 @@ asked AS (
          2002 + 8 - current_grade AS admission_year
   FROM predicted JOIN part ON l_partkey = p_partkey),
 {_scored('asked', 'c.step_sd * sqrt(q.admission_year - c.base_year)', 'q.media_sd')}
-SELECT candidate_id, county, school, spec_id, CAST(admission_year AS INTEGER) AS admission_year, kind, reason,
+SELECT candidate_id, county, school, spec_id, CAST(admission_year AS INTEGER) AS admission_year, NULL AS error, kind, reason,
        round(probability, 6) AS probability, round(interval_low, 6) AS interval_low,
        round(interval_high, 6) AS interval_high, {band('probability')} AS band
-FROM scored"""
+FROM scored
+UNION ALL SELECT candidate_id, county, school, {SPEC}, CAST(2002 + 8 - current_grade AS INTEGER),
+       'mother-tongue candidates are not supported', NULL, NULL, NULL, NULL, NULL, NULL
+FROM pupils JOIN part ON l_partkey = p_partkey WHERE mt"""
 
 ORACLES["chained_summary"] = f"""
 WITH {OFFERS}, {model(2002)}, {COURSES}, {CANDIDATES}, {KNOTS}, {EFFECTS}, {STUDENTS}, {PREDICTED},
@@ -597,12 +601,14 @@ pairs AS (
          CASE WHEN c.kind = 'estimate' THEN (q.media - c.last_media_h / 100) / {hypot('c.sd', 'q.media_sd')} END AS z
   FROM q JOIN courses c ON q.county = c.county),
 scored AS (SELECT *, CASE WHEN kind = 'estimate' THEN {phi('z')} END AS p FROM pairs)
-SELECT any_value(candidate_id) AS candidate_id, any_value(county) AS county,
+SELECT any_value(candidate_id) AS candidate_id, any_value(county) AS county, NULL AS error,
        count(*) FILTER (kind = 'estimate') AS answerable,
        count(*) FILTER (kind = 'estimate' AND p >= 0.5) AS clears,
        count(*) FILTER (kind = 'estimate' AND p >= 0.3 AND p < 0.7) AS tight,
        count(*) FILTER (kind = 'open') AS open, count(*) FILTER (kind = 'unavailable') AS aside
-FROM scored GROUP BY id"""
+FROM scored GROUP BY id
+UNION ALL SELECT candidate_id, county, 'mother-tongue candidates are not supported', NULL, NULL, NULL, NULL, NULL
+FROM pupils WHERE mt"""
 
 ORACLES["forecast_metrics"] = f"""
 WITH {CANDIDATES}, {KNOTS}, {EFFECTS}, {STUDENTS}, {PREDICTED},

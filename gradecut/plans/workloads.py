@@ -367,8 +367,7 @@ def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = _offers(spark, sf_dir)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    asked = _asked(spark, sf_dir).filter("media_h is not null")
-    return answers.best_courses(asked, offers, models, TOP_N, VIEW_COLS).drop("media")
+    return answers.best_courses(_asked(spark, sf_dir), offers, models, TOP_N, VIEW_COLS).drop("media")
 
 
 @query
@@ -492,36 +491,44 @@ def student_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chained_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated averages scored against each pupil's course in their own admission year."""
+    """Estimated averages scored against each pupil's course in their own admission year.
+
+    A pupil whose record is refused keeps a row with the reason and no answer.
+    """
     offers = _offers(spark, sf_dir)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    predicted = views.with_course(_predicted(spark, sf_dir).filter("error is null"), spark, sf_dir)
+    predicted = views.with_course(_predicted(spark, sf_dir), spark, sf_dir)
     year = keys.target_year(F.to_date(F.lit("2001-10-15")), F.col("current_grade"), F.lit(HOLDOUT_YEAR))
     asked = predicted.select(
         "candidate_id", "county", "school", "spec_id",
-        F.col("media_mean").alias("media"), "media_sd", year.cast("int").alias("admission_year"),
+        F.col("media_mean").alias("media"), "media_sd", year.cast("int").alias("admission_year"), "error",
     )
     scored = cutoff.score_requests(
         asked, offers, models, VIEW_COLS, media_sd="media_sd", target_year="admission_year"
     )
+    answer = ("kind", "reason", "probability", "interval_low", "interval_high", "band")
     return rounded(
         scored.select(
-            "candidate_id", "county", "school", "spec_id", "admission_year", "kind", "reason",
-            "probability", "interval_low", "interval_high", "band",
+            "candidate_id", "county", "school", "spec_id", "admission_year", "error",
+            *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in answer],
         )
     )
 
 
 @query
 def chained_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many courses each pupil's estimated average clears, spread included."""
+    """How many courses each pupil's estimated average clears, spread included; refused records
+    keep a row with the reason."""
     offers = _offers(spark, sf_dir)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    predicted = _predicted(spark, sf_dir).filter("error is null").select(
-        "candidate_id", "county", F.col("media_mean").alias("media"), "media_sd"
+    predicted = _predicted(spark, sf_dir).select(
+        "candidate_id", "county", "error", F.col("media_mean").alias("media"), "media_sd"
     )
     counted = answers.summaries(predicted, offers, models, VIEW_COLS, media_sd="media_sd")
-    return counted.select("candidate_id", "county", "answerable", "clears", "tight", "open", "aside")
+    counts = ("answerable", "clears", "tight", "open", "aside")
+    return counted.select(
+        "candidate_id", "county", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in counts]
+    )
 
 
 # --- evaluation -----------------------------------------------------------------------
