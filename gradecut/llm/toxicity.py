@@ -19,6 +19,7 @@ of the input are ignored.
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,30 +68,44 @@ def bag_words(text: str) -> list[set[str]]:
     return [words for s in _SENTENCE.findall(text.lower()) if (words := features(s))]
 
 
-def fit_bags(bags: list[list[set[str]]], labels: list[int], steps: int = STEPS) -> ToxicityModel:
+class Bags:
+    """Texts as bags, cut into sentences anew each time they are gone through: a bag's words take far
+    more memory than its text."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self._texts = texts
+
+    def __iter__(self) -> Iterator[list[set[str]]]:
+        return map(bag_words, self._texts)
+
+
+def fit_bags(bags: Iterable[list[set[str]]], labels: list[int], steps: int = STEPS) -> ToxicityModel:
     """Word weights by gradient ascent on the noisy-or likelihood of the labels (Adam).
 
     Only words whose document frequency differs between the classes by ``ASSOCIATION``
     standard deviations get a weight: thousands of chance words would otherwise share the
     blame among them.
     """
-    used = [(bag, y) for bag, y in zip(bags, labels, strict=True) if bag]
-    if len({y for _, y in used}) < 2:
-        share = sum(labels) / len(labels) if labels else 0.0
-        return ToxicityModel({}, float(np.log(max(share, 1e-6) / (1 - min(share, 1 - 1e-6)))))
     seen: Counter[str] = Counter()
     seen_toxic: Counter[str] = Counter()
-    for bag, y in used:
-        words = set().union(*bag)
-        seen.update(words)
-        if y:
-            seen_toxic.update(words)
-    share = sum(y for _, y in used) / len(used)
+    y: list[int] = []
+    for bag, label in zip(bags, labels, strict=True):
+        if bag:
+            words = set().union(*bag)
+            seen.update(words)
+            if label:
+                seen_toxic.update(words)
+            y.append(label)
+    if len(set(y)) < 2:
+        share = sum(labels) / len(labels) if labels else 0.0
+        return ToxicityModel({}, float(np.log(max(share, 1e-6) / (1 - min(share, 1 - 1e-6)))))
+    share = sum(y) / len(y)
     apart = {
-        w: abs(seen_toxic[w] - n * share) / (n * share * (1 - share) * (1 - n / (len(used) + 1))) ** 0.5
+        w: abs(seen_toxic[w] - n * share) / (n * share * (1 - share) * (1 - n / (len(y) + 1))) ** 0.5
         for w, n in seen.items()
         if n >= MIN_BAGS
     }
+    del seen, seen_toxic
     kept = sorted((w for w, z in apart.items() if z >= ASSOCIATION), key=lambda w: (-apart[w], w))[:MAX_WORDS]
     if not kept:
         return ToxicityModel({}, float(np.log(share / (1 - share))))
@@ -98,14 +113,16 @@ def fit_bags(bags: list[list[set[str]]], labels: list[int], steps: int = STEPS)
     flat: list[int] = []
     sentence_of: list[int] = []
     bag_of: list[int] = []
-    for b, (bag, _) in enumerate(used):
+    b = 0
+    for bag in bags:
         for words in bag:
             ids = sorted(index[w] for w in words if w in index)
             sentence_of.extend([len(bag_of)] * len(ids))
             flat.extend(ids)
             bag_of.append(b)
+        b += bool(bag)
     word, sentence, bag_no = np.array(flat), np.array(sentence_of), np.array(bag_of)
-    y = np.array([label for _, label in used], dtype=float)
+    y = np.array(y, dtype=float)
     n_words, n_sentences = len(kept), len(bag_of)
     weights, bias = np.zeros(n_words), START_BIAS
     first = np.zeros(n_words + 1)
@@ -144,7 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])
-    return fit_bags([bag_words(r["text"]) for r in rows], [r["toxic"] for r in rows])
+    return fit_bags(Bags([r["text"] for r in rows]), [r["toxic"] for r in rows])
 
 
 def sentence_scores(text: str, model: ToxicityModel) -> list[tuple[int, int, float]]:
