@@ -839,3 +839,22 @@ a AS (SELECT county, ((CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h
                             ELSE (romana_h + materna_h + matematica_h) // 3 END) - 550) / 100 AS z FROM candidates),
 p AS (SELECT county, {phi('z')} AS p FROM a)
 SELECT county, CASE WHEN p IS NULL THEN NULL ELSE {band('p')} END AS band, count(*) AS n FROM p GROUP BY 1, 2"""
+
+ORACLES["contract_json"] = f"""
+WITH {OFFERS}
+SELECT CAST(year + 10 AS INTEGER) AS year, substr(county, 1, 2) AS county, school AS school_code, spec_id,
+       course_label AS spec_label, CASE WHEN vocational THEN 'vocationala' ELSE 'teoretica' END AS track,
+       CAST(seats AS INTEGER) AS seats, CAST(last_media_h AS BIGINT) AS last_media_h, 'official' AS provenance
+FROM offers"""
+ORACLES["archive_parse"] = f"""
+WITH {OFFERS},
+o AS (SELECT *, occupied % 9 AS odd FROM offers)
+SELECT CAST(year AS INTEGER) AS year, substr(county, 1, 2) AS county, school AS school_code,
+       concat(chr(536), 'coala ', school) AS school_name, spec_id,
+       concat(course_label, CASE odd WHEN 2 THEN concat(' (bilingv: Englez', chr(259), ')') WHEN 7 THEN ' (dual)' ELSE '' END) AS spec_label,
+       CASE WHEN vocational THEN 'vocationala' WHEN odd <> 5 THEN 'teoretica' END AS track,
+       CAST(seats AS INTEGER) AS seats, CAST(last_media_h AS BIGINT) AS last_media_h,
+       CASE WHEN odd = 1 THEN 'j: not the county of the file' WHEN odd = 4 THEN 'fi: only day classes are read'
+            WHEN odd = 5 AND NOT vocational THEN 'f: no such track' WHEN odd = 3 THEN 'nlo: not a count'
+            WHEN odd = 8 THEN 'um: key is absent' END AS error
+FROM o"""

@@ -25,7 +25,7 @@ from gradecut.params import CalibrationParams
 from gradecut.plans import views
 from gradecut.plans.views import VIEW_COLS, spread_table, table
 from gradecut.session import cut_lineage, shared_path
-from gradecut.sources import exams, pages as page_sources, sinks
+from gradecut.sources import archive, contract, exams, pages as page_sources, sinks
 from gradecut.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,10 +259,9 @@ def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A published generation read back by its pointer."""
-    offers = views.offers(spark, sf_dir).select(
+def _publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers in the published shape, without faults."""
+    return views.offers(spark, sf_dir).select(
         (F.col("year") + 10).alias("year"),
         F.upper(F.substring("county", 1, 2)).alias("county"),
         F.col("school").alias("school_code"),
@@ -279,6 +278,12 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("official").alias("provenance"),
         F.lit("https://example.org/results").alias("source"),
     )
+
+
+@query
+def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published generation read back by its pointer."""
+    offers = _publishable(spark, sf_dir)
     root = shared_path(spark, "published")
     sinks.publish(cut_lineage(offers), root, GENERATED_AT, "g1")
     return sinks.read_published(spark, root).groupBy(F.col("year").cast("int").alias("year"), "county").agg(
@@ -286,6 +291,49 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers written as the contract's JSON documents and read back, marks exact."""
+    offers = cut_lineage(_publishable(spark, sf_dir))
+    folder = shared_path(spark, "contract")
+    contract.dataset_json(offers, sinks.headers_of(offers, GENERATED_AT)).select("document").write.text(folder)
+    read = spark.read.text(folder).select(contract.parse_dataset(F.col("value")).alias("d"))
+    rows = read.select(F.col("d.provenance").alias("provenance"), F.explode("d.rows").alias("r"))
+    return rows.select(
+        "r.year", "r.county", "r.school_code", "r.spec_id", "r.spec_label", "r.track", "r.seats", "r.last_media_h", "provenance"
+    )
+
+
+@query
+def archive_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw allocation records, some of them faulty in each way that follows from the data."""
+    odd, mark = F.col("occupied") % 9, F.col("last_media_h")
+    raw = views.offers(spark, sf_dir).select(
+        F.when(odd == 1, "XX").otherwise(F.substring("county", 1, 2)).alias("j"),
+        F.col("spec_id").alias("c"),
+        F.concat(F.lit(" \u015ecoala  "), F.col("school"), F.lit("\u00a0")).alias("l"),
+        F.col("school").alias("lc"),
+        F.col("course_label").alias("sp"),
+        F.lit("ro").alias("lp"),
+        F.when(odd == 2, "Englez\u0103").otherwise("-").alias("lb"),
+        F.col("seats").cast("string").alias("nlt"),
+        F.when(odd == 3, "x").otherwise(F.col("occupied").cast("string")).alias("nlo"),
+        F.when(odd == 4, "Seral").otherwise("Zi").alias("fi"),
+        F.lit("Real").alias("p"),
+        F.when(F.col("vocational"), "VOCATIONALA").when(odd == 5, "alta").otherwise("Teoretic\u0103").alias("f"),
+        F.when(odd != 6, "Liceal").alias("n"),
+        F.when(odd == 7, "DA").alias("d"),
+        F.format_string("%d.%02d", F.call_function("div", mark, F.lit(100)), mark % 100).alias("um"),
+        (odd != 8).alias("um_given"),
+        F.lit("-").alias("file"),
+        F.col("year").cast("int").alias("year"),
+        F.substring("county", 1, 2).alias("county"),
+    ).withColumn("um", F.when(F.col("um").rlike("^[0-9]"), F.col("um")))
+    site = F.concat(F.lit(f"https://{archive.SITE}/"), F.col("year").cast("string"), F.lit("/repartizare/"), F.col("county"))
+    parsed = archive.parse_records(raw.withColumn("source_url", F.concat(site, F.lit("/data/specialization.json"))))
+    return parsed.select("year", "county", "school_code", "school_name", "spec_id", "spec_label", "track", "seats", "last_media_h", "error")
+
+
 # --- matching and the cutoff model ----------------------------------------------------
 
 

@@ -37,7 +37,31 @@ NESTED_DATASET = _struct(
 
 INDEX_ENTRY = _struct(year=_I, county=_S, path=_S, row_count=_L, provenance=_S)
 
-SAVED_COURSES = T.ArrayType(_struct(snapshots=T.ArrayType(NESTED_DATASET)))
+# Names of the published JSON that differ from the ones used here.
+CONTRACT_NAMES = {
+    "schema_version": "schemaVersion",
+    "generated_at": "generatedAt",
+    "school_code": "schoolCode",
+    "school_name": "schoolName",
+    "spec_id": "specId",
+    "spec_label": "specLabel",
+    "track": "filiera",
+    "occupied_seats": "occupiedSeats",
+    "last_media": "lastMedia",
+}
+
+
+def _contract(own: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """A schema under the contract's names; ``kinds`` gives the types that differ there."""
+    return T.StructType(
+        [T.StructField(CONTRACT_NAMES.get(f.name, f.name), kinds.get(f.name, f.dataType)) for f in own if f.name != "part"]
+    )
+
+
+# Marks are doubles in JSON; a decimal would round a faulty one into a good one.
+CONTRACT_ROW = _contract(NESTED_ROW, last_media=T.DoubleType())
+CONTRACT_DATASET = _contract(NESTED_DATASET, rows=T.ArrayType(CONTRACT_ROW))
+SAVED_COURSES = T.ArrayType(_struct(snapshots=T.ArrayType(CONTRACT_DATASET)))
 
 EXAM_SAMPLE = _struct(
     nota_finala_romana=T.DecimalType(4, 2),

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from gradecut.operators.links import scope_pages
 from gradecut.schemas import MANIFEST, PAGE, SAVED_COURSES
+from gradecut.sources.contract import own_dataset
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -62,8 +63,9 @@ def read_fixture_pages(spark: SparkSession, folder: str) -> DataFrame:
 def read_shortlist(raw: DataFrame, column: str = "raw", owner: str | None = None) -> DataFrame:
     """Saved courses, one row per snapshot, from a JSON column; null means nothing saved.
 
-    Check the result with ``contracts.saved_violations``. Text that is not an array of
-    saved courses fails.
+    The text has the contract's names (``schoolCode``, ``lastMedia``). Check the result with
+    ``contracts.saved_violations``. Text that is not an array of saved courses fails, as do
+    documents without a required field and marks that are not whole hundredths.
     """
     keep = [owner] if owner else []
     listed = raw.filter(F.col(column).isNotNull())
@@ -75,6 +77,7 @@ def read_shortlist(raw: DataFrame, column: str = "raw", owner: str | None = None
         F.concat_ws("-", F.col("_id").cast("string"), F.col("_n").cast("string")).alias("saved_id"),
         F.posexplode_outer("_course.snapshots").alias("place", "_snapshot"),
     )
+    saved = saved.withColumn("_snapshot", F.when(F.col("_snapshot").isNotNull(), own_dataset(F.col("_snapshot"))))
     row = F.try_element_at("_snapshot.rows", F.lit(1))
     return saved.withColumn("_row", row).select(
         *keep,
@@ -86,8 +89,6 @@ def read_shortlist(raw: DataFrame, column: str = "raw", owner: str | None = None
         "_snapshot.generated_at",
         *[F.col(f"_row.{n}").alias(n) for n in (
             "year", "county", "school_code", "school_name", "spec_id", "spec_label", "profile",
-            "track", "limba", "seats", "occupied_seats",
+            "track", "limba", "seats", "occupied_seats", "last_media_h", "vocational",
         )],
-        (F.col("_row.last_media") * 100).cast("bigint").alias("last_media_h"),
-        F.col("_row.vocational").alias("vocational"),
     )

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from gradecut.operators import contracts
 from gradecut.operators.columns import OfferCols
-from gradecut.sources import pages, sinks
+from gradecut.schemas import OFFER
+from gradecut.sources import contract, pages, sinks
 from tests.test_cutoff import frame, offer
 
 
@@ -92,17 +93,19 @@ def test_index_rules_and_reconciliation(spark):
     assert {r["rule"] for r in other.collect()} == {"provenance"}
 
 
-def saved_json(spark, courses):
+def saved_json(spark, courses, **changes):
     """A shortlist column: each course a list of (year, spec, label) snapshots."""
     snaps = []
     for c, snapshots in enumerate(courses):
         listed = []
         for year, spec, label, copies in snapshots:
             row = dict(
-                year=year, county="SB", school_code="S1", school_name="L", spec_id=spec, spec_label=label, profile="Real",
-                track="teoretica", limba="ro", seats=28, occupied_seats=28, last_media=7.0, vocational=False,
+                year=year, county="SB", schoolCode="S1", schoolName="L", specId=spec, specLabel=label, profile="Real",
+                filiera="teoretica", limba="ro", seats=28, occupiedSeats=28, lastMedia=7.05, vocational=False,
             )
-            listed.append(dict(schema_version=1, year=year, county="SB", part=0, generated_at="2026-01-01T00:00:00Z",
+            row.update(changes)
+            row = {k: v for k, v in row.items() if v != "absent"}
+            listed.append(dict(schemaVersion=1, year=year, county="SB", generatedAt="2026-01-01T00:00:00Z",
                                provenance="official", sources=["https://x.ro"], rows=[row] * copies))
         snaps.append({"snapshots": listed})
     return spark.createDataFrame([("u1", json.dumps(snaps)), ("u2", None)], "owner string, raw string")
@@ -128,3 +131,26 @@ def test_text_that_is_no_shortlist_fails(spark):
     raw = spark.createDataFrame([("u", "broken")], "owner string, raw string")
     with pytest.raises(Exception):
         pages.read_shortlist(raw, owner="owner").collect()
+
+
+def test_saved_rows_under_the_contracts_names(spark):
+    course = [[(2026, "101", "Mate", 1)]]
+    read = lambda **changes: pages.read_shortlist(saved_json(spark, course, **changes), owner="owner").first()
+    row = read()
+    assert (row["school_code"], row["track"], row["last_media_h"], row["generated_at"][:4]) == ("S1", "teoretica", 705, "2026")
+    assert read(lastMedia=None)["last_media_h"] is None and read(occupiedSeats="absent")["occupied_seats"] is None
+    for fault in ({"lastMedia": 9.855}, {"schoolCode": "absent"}, {"filiera": None}, {"lastMedia": 11}):
+        with pytest.raises(Exception, match="grade|without"):
+            read(**fault)
+
+
+def test_county_files(spark, tmp_path):
+    offers = frame(spark, [offer(2025, 1, 700), offer(2025, 2, None), offer(2026, 1, 855, county="BV")])
+    headers = sinks.headers_of(offers.withColumns({"provenance": F.lit("official"), "source": F.lit("https://x.ro")}), "2026-01-01T00:00:00Z")
+    for r in contract.dataset_json(offers, headers).collect():
+        folder = tmp_path / str(r["year"])
+        folder.mkdir(exist_ok=True)
+        (folder / f"{r['county']}.json").write_text(r["document"])
+    back = contract.read_datasets(spark, str(tmp_path))
+    names = OFFER.fieldNames()
+    assert sorted(map(tuple, back.select(*names).collect()), key=str) == sorted(map(tuple, offers.select(*names).collect()), key=str)
