@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from gradecut import build_session
@@ -37,7 +38,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        "bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), **{"spark.driver.memory": "16g"}
+        "bench",
+        master=f"local[{cpus}]",
+        shuffle_partitions=int(cpus),
+        **{"spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

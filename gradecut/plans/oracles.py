@@ -536,8 +536,8 @@ SELECT count(*) AS n, round(corr(er, em), 6) AS subject_rho FROM res"""
 
 ORACLES["group_effects"] = f"""
 WITH {CANDIDATES}, {KNOTS}, {EFFECTS}
-SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(coalesce(romana, 0.0) + 3e-10, 6) AS romana,
-       round(coalesce(matematica, 0.0) + 3e-10, 6) AS matematica
+SELECT c_custkey AS school_id, coalesce(n, 0) AS n, round(round(coalesce(romana, 0.0), 9), 6) AS romana,
+       round(round(coalesce(matematica, 0.0), 9), 6) AS matematica
 FROM customer LEFT JOIN effects ON c_custkey = school_id"""
 
 ORACLES["predict_marks"] = f"""
@@ -550,13 +550,13 @@ SELECT candidate_id, current_grade, error, school_mean, horizon_years, romana_ba
        CASE WHEN error IS NULL THEN media_high END AS media_high
 FROM (SELECT u.candidate_id, u.current_grade,
        CASE WHEN u.mt THEN 'mother-tongue candidates are not supported' END AS error,
-       round(3e-10 + x, 6) AS school_mean, CAST(CASE WHEN NOT u.mt THEN 8 - u.current_grade END AS INTEGER) AS horizon_years,
-       round(3e-10 + {clamp('raw_r')}, 6) AS romana_mean, round(3e-10 + sd_r, 6) AS romana_sd,
-       round(3e-10 + {clamp(f'raw_r - sd_r * {Z_80}')}, 6) AS romana_low, round(3e-10 + {clamp(f'raw_r + sd_r * {Z_80}')}, 6) AS romana_high,
+       round(round(x, 9), 6) AS school_mean, CAST(CASE WHEN NOT u.mt THEN 8 - u.current_grade END AS INTEGER) AS horizon_years,
+       round(round({clamp('raw_r')}, 9), 6) AS romana_mean, round(round(sd_r, 9), 6) AS romana_sd,
+       round(round({clamp(f'raw_r - sd_r * {Z_80}')}, 9), 6) AS romana_low, round(round({clamp(f'raw_r + sd_r * {Z_80}')}, 9), 6) AS romana_high,
        CASE WHEN u.mt THEN NULL WHEN u.mock_r IS NULL THEN 'school' ELSE 'school+simulare' END AS romana_basis,
-       round(3e-10 + {clamp('raw_m')}, 6) AS matematica_mean, round(3e-10 + sd_m, 6) AS matematica_sd,
-       round(3e-10 + {clamp('raw')}, 6) AS media_mean, round(3e-10 + media_sd, 6) AS media_sd,
-       round(3e-10 + {clamp(f'raw - media_sd * {Z_80}')}, 6) AS media_low, round(3e-10 + {clamp(f'raw + media_sd * {Z_80}')}, 6) AS media_high
+       round(round({clamp('raw_m')}, 9), 6) AS matematica_mean, round(round(sd_m, 9), 6) AS matematica_sd,
+       round(round({clamp('raw')}, 9), 6) AS media_mean, round(round(media_sd, 9), 6) AS media_sd,
+       round(round({clamp(f'raw - media_sd * {Z_80}')}, 9), 6) AS media_low, round(round({clamp(f'raw + media_sd * {Z_80}')}, 9), 6) AS media_high
 FROM (SELECT candidate_id, current_grade, mt, mock_r, NULL::DOUBLE AS x, NULL::DOUBLE AS raw_r, NULL::DOUBLE AS sd_r,
              NULL::DOUBLE AS raw_m, NULL::DOUBLE AS sd_m, NULL::DOUBLE AS raw, NULL::DOUBLE AS media_sd
       FROM pupils WHERE mt

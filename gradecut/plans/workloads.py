@@ -36,7 +36,6 @@ HOLDOUT_YEAR = 2001
 EPOCH_YEAR = 1998
 MIN_COUNT = 2500
 TOP_N = 3
-NUDGE = 3e-10
 CAPPED = 20
 RECORD_PART = 40
 NEEDLES = ("eter", "écha", "über")
@@ -48,18 +47,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+def rounded(df: DataFrame, settled: bool = False) -> DataFrame:
     """Doubles to six decimals, so that engines agree on the last bits.
 
-    ``nudge`` moves values that are exact halves at the sixth decimal off the tie.
+    ``settled`` rounds to nine decimals first: values that are exact halves at the sixth
+    decimal then are so again, whatever their last bits were.
     """
     kinds = dict(df.dtypes)
 
-    def short(name: str) -> Column:
+    def to(value: Column, scale: float) -> Column:
         # Half away from zero; a built-in round would go through decimal text on every value.
-        value = F.col(name) + nudge
-        size = F.floor(F.abs(value) * 1e6 + 0.5) / 1e6
-        return F.when(value < 0, 0.0 - size).otherwise(size).alias(name)
+        size = F.floor(F.abs(value) * scale + 0.5) / scale
+        return F.when(value < 0, 0.0 - size).otherwise(size)
+
+    def short(name: str) -> Column:
+        value = to(F.col(name), 1e9) if settled else F.col(name)
+        return to(value, 1e6).alias(name)
 
     return df.select(*[short(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
@@ -493,7 +496,7 @@ def group_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     knots = calibration.knots_2025(spark)
     effects = calibration.group_effects(views.candidates(spark, sf_dir), knots, directory=directory)
     # Shrinking divides by n + 30, often a power of two: exact halves do occur.
-    return rounded(effects, NUDGE)
+    return rounded(effects, settled=True)
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,7 +514,7 @@ def predict_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "romana_mean", "romana_sd", "romana_low", "romana_high", "romana_basis",
             "matematica_mean", "matematica_sd", "media_mean", "media_sd", "media_low", "media_high",
         ),
-        NUDGE,
+        settled=True,
     )
 
 
@@ -830,14 +833,19 @@ def stream_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = streams.running_verification(views.candidates(spark, sf_dir, lines))
     folder = shared_path(spark, "verify")
     streams.run_counts(counts, f"{folder}/out", f"{folder}/state")
-    return spark.read.parquet(f"{folder}/out")
+    return streams.read_counts(spark, f"{folder}/out")
 
 
 @query
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "pages").schema
     pages = streams.read_arriving(spark, f"{sf_dir}/pages*.parquet", schema)
-    bare = pages.select(urls.canonical_url(F.col("url"), keep_fragment=False).alias("url"))
+    # The pages carry no time; they count as fetched one a second, from the second after the epoch
+    # (a stream takes the epoch itself for late).
+    bare = pages.select(
+        urls.canonical_url(F.col("url"), keep_fragment=False).alias("url"), F.timestamp_seconds(F.col("page_id") + 1).alias("fetched_at")
+    )
     folder = shared_path(spark, "pages")
-    streams.run_available(streams.first_seen_pages(bare).select("canonical_url"), f"{folder}/out", f"{folder}/state")
+    first = streams.first_seen_pages(bare, fetched_at="fetched_at", horizon="30 days")
+    streams.run_available(first.select("canonical_url"), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")

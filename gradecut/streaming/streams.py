@@ -55,10 +55,16 @@ def run_available(
 
 
 def run_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process what has arrived and stop; ``path`` holds the latest complete counts."""
+    """Process what has arrived and stop; ``read_counts`` gives the latest complete counts.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    Each batch is written to a folder of its own, a repeated batch over its own earlier try,
+    and only then named in the list of finished batches, so readers never see half of one.
+    """
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{number}")
+        done = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("batch"))
+        done.coalesce(1).write.mode("append").parquet(f"{path}/finished")
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -70,3 +76,8 @@ def run_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query.awaitTermination()
     return query
 
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of the last finished batch of ``run_counts``."""
+    last = spark.read.parquet(f"{path}/finished").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{path}/batches/{last}")

@@ -14,7 +14,7 @@ def test_verification_over_arriving_files(spark, tmp_path):
         streams.running_verification(streams.read_arriving(spark, source, first.schema)), out, state
     )
     run()
-    read = lambda: {(r["status"], r["papers"]): r["n"] for r in spark.read.parquet(out).collect()}
+    read = lambda: {(r["status"], r["papers"]): r["n"] for r in streams.read_counts(spark, out).collect()}
     assert read() == {("ok", 2): 1, ("ok", 3): 1}
     spark.createDataFrame([("SB", 990, None, 981, 986), ("SB", 990, None, 981, 985)], RESULT).write.mode("append").parquet(source)
     run()
