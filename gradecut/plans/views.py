@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradecut.functions.marks import exam_average_h
 from gradecut.operators.columns import OfferCols
+from gradecut.session import cut_lineage
 
 VIEW_COLS = OfferCols(
     identity=("school", "course_label"),
@@ -56,6 +57,20 @@ def _lines_by_region(
     return lines.join(placed.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+PLACED = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity",
+    "o_custkey", "o_orderdate", "county", "school",
+)
+
+
+def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the place of their order, joined once and written to the shared folder.
+
+    For queries that derive several of the views below from them.
+    """
+    return cut_lineage(_lines_by_region(spark, sf_dir).select(*PLACED))
+
+
 def _course_columns(brand: Column, size: Column) -> tuple[Column, Column]:
     spec = F.concat(brand, F.lit("/"), F.when(size > 25, "L").otherwise("S"))
     label = F.when(brand.isin("Brand#11", "Brand#12"), "Shared").otherwise(spec)
@@ -63,12 +78,16 @@ def _course_columns(brand: Column, size: Column) -> tuple[Column, Column]:
 
 
 def offers(
-    spark: SparkSession, sf_dir: str, seats: int = 5, min_occupied: int = 2
+    spark: SparkSession, sf_dir: str, seats: int = 5, min_occupied: int = 2, placed: DataFrame | None = None
 ) -> DataFrame:
-    """Course offers per year: county=region, school=nation, course=brand and size class."""
+    """Course offers per year: county=region, school=nation, course=brand and size class.
+
+    ``placed`` takes the result of ``placed_lines`` instead of joining anew, here and below.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     spec, label = _course_columns(F.col("p_brand"), F.col("p_size"))
-    rows = _lines_by_region(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = _lines_by_region(spark, sf_dir) if placed is None else placed
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     grouped = rows.groupBy(
         F.year("o_orderdate").alias("year"),
         "county",
@@ -96,7 +115,9 @@ def offers(
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def candidates(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, placed: DataFrame | None = None
+) -> DataFrame:
     """Exam results: two common papers, a third for some, and the school record.
 
     ``lines`` may be a stream of line items instead of the stored table.
@@ -104,7 +125,8 @@ def candidates(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None)
     romana = F.when(F.col("l_discount") <= 0.095, price_mark_h(F.col("l_extendedprice")))
     materna = F.when(F.col("l_returnflag") == "N", (F.col("l_orderkey") * 13) % 901 + 100)
     matematica = (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 901 + 100
-    rows = _lines_by_region(spark, sf_dir, lines).select(
+    base = _lines_by_region(spark, sf_dir, lines) if placed is None else placed
+    rows = base.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"),
         F.col("o_custkey").alias("school_id"),
         "county",
@@ -121,9 +143,9 @@ def candidates(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None)
     return rows.withColumn("media_h", average + slip)
 
 
-def students(spark: SparkSession, sf_dir: str) -> DataFrame:
+def students(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
     """Pupils in grades 5 to 8 with yearly marks so far and, in grade 8, a mock exam."""
-    base = candidates(spark, sf_dir).withColumn("current_grade", (F.col("line") % 4 + 5).cast("int"))
+    base = candidates(spark, sf_dir, placed=placed).withColumn("current_grade", (F.col("line") % 4 + 5).cast("int"))
     yearly = F.transform(
         F.sequence(F.lit(5), F.col("current_grade")),
         lambda grade: F.struct(

@@ -67,13 +67,13 @@ def rounded(df: DataFrame, settled: bool = False) -> DataFrame:
     return df.select(*[short(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
-def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _offers(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
     """The offers once per query: the operators below read them two or three times."""
-    return cut_lineage(views.offers(spark, sf_dir))
+    return cut_lineage(views.offers(spark, sf_dir, placed=placed))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = views.candidates(spark, sf_dir)
+def _asked(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
+    results = views.candidates(spark, sf_dir, placed=placed)
     return results.select("candidate_id", "county", "media_h", (F.col("media_h") / 100).alias("media"))
 
 
@@ -391,9 +391,10 @@ def history_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate against the course of their own part: one keyed lookup each."""
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    asked = views.with_course(views.candidates(spark, sf_dir), spark, sf_dir).select(
+    asked = views.with_course(views.candidates(spark, sf_dir, placed=placed), spark, sf_dir).select(
         "candidate_id", "county", "school", "spec_id", (F.col("media_h") / 100).alias("media")
     )
     scored = cutoff.score_requests(asked, offers, models, VIEW_COLS)
@@ -409,24 +410,27 @@ def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    return answers.summaries(_asked(spark, sf_dir), offers, models, VIEW_COLS).drop("media")
+    return answers.summaries(_asked(spark, sf_dir, placed), offers, models, VIEW_COLS).drop("media")
 
 
 @query
 def answer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    return answers.best_courses(_asked(spark, sf_dir), offers, models, TOP_N, VIEW_COLS).drop("media")
+    return answers.best_courses(_asked(spark, sf_dir, placed), offers, models, TOP_N, VIEW_COLS).drop("media")
 
 
 @query
 def answer_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ordered list for the average candidate of every county."""
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    average = _asked(spark, sf_dir).groupBy("county").agg(
+    average = _asked(spark, sf_dir, placed).groupBy("county").agg(
         F.call_function("div", F.sum("media_h"), F.count("media_h")).alias("media_h")
     )
     asked = average.select("county", (F.col("media_h") / 100).alias("media"))
@@ -499,10 +503,11 @@ def group_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(effects, settled=True)
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _predicted(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
+    placed = views.placed_lines(spark, sf_dir) if placed is None else placed
     knots = calibration.knots_2025(spark)
-    effects = cut_lineage(calibration.group_effects(views.candidates(spark, sf_dir), knots))
-    return pupils.predict_marks(views.students(spark, sf_dir), knots, effects)
+    effects = cut_lineage(calibration.group_effects(views.candidates(spark, sf_dir, placed=placed), knots))
+    return pupils.predict_marks(views.students(spark, sf_dir, placed), knots, effects)
 
 
 @query
@@ -546,9 +551,10 @@ def chained_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A pupil whose record is refused keeps a row with the reason and no answer.
     """
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    predicted = views.with_course(_predicted(spark, sf_dir), spark, sf_dir)
+    predicted = views.with_course(_predicted(spark, sf_dir, placed), spark, sf_dir)
     year = keys.target_year(F.to_date(F.lit("2001-10-15")), F.col("current_grade"), F.lit(HOLDOUT_YEAR))
     asked = predicted.select(
         "candidate_id", "county", "school", "spec_id",
@@ -570,9 +576,10 @@ def chained_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chained_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many courses each pupil's estimated average clears, spread included; refused records
     keep a row with the reason."""
-    offers = _offers(spark, sf_dir)
+    placed = views.placed_lines(spark, sf_dir)
+    offers = _offers(spark, sf_dir, placed)
     models = cutoff.fit_cutoff_model(offers, TARGET_YEAR, VIEW_COLS)
-    predicted = _predicted(spark, sf_dir).select(
+    predicted = _predicted(spark, sf_dir, placed).select(
         "candidate_id", "county", "error", F.col("media_mean").alias("media"), "media_sd"
     )
     counted = answers.summaries(predicted, offers, models, VIEW_COLS, media_sd="media_sd")
