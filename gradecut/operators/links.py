@@ -13,12 +13,16 @@ from gradecut.functions.marks import ANY_SPACE
 from gradecut.operators.ranking import pick_representative, rank_within
 from gradecut.session import cut_lineage, shared_path
 
-# Fixed value: an anchor with its target in any quoting, and what it encloses.
-ANCHOR = (
-    r"(?is)<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\">]+))[^>]*>(.*?)</a>"
-)
-_GROUPS = ((1, "double"), (2, "single"), (3, "bare"), (4, "inner"))
-_SKIPPED = r"(?i)^(#|javascript:|mailto:|tel:)"
+# A start tag runs to the first ``>`` outside quotes; a value is quoted or has no space.
+_INSIDE = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_TAG = rf"<a(?=\s){_INSIDE}>"
+_ANCHOR = rf"(?is){_TAG}.*?</a\s*>"
+# Other attributes, whole, up to the one that is named href.
+_OTHERS = rf"""(?:[\s/]++|(?!href\s*=)[^\s=/"'>]++(?:\s*=\s*{_VALUE})?)*+"""
+_HREF = rf"""(?is)^<a(?=\s){_OTHERS}href\s*=\s*({_VALUE})"""
+_CONTENT = rf"(?is)^{_TAG}(.*)</a\s*>$"
+_NO_PAGE = r"(?i)^(?:#|(?:javascript|mailto|tel):)"
 
 
 def extract_links(
@@ -29,15 +33,16 @@ def extract_links(
     Each target counts once per page, with the text and place of its first anchor. All of
     it happens inside the page's own row, so nothing is shuffled.
     """
-    groups = [F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i)).alias(n) for i, n in _GROUPS]
+    anchors = F.filter(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)), lambda a: a.rlike(_HREF))
     source = F.col(url)
 
     def link(anchor: Column, position: Column) -> Column:
-        quoted = [F.nullif(anchor[n], F.lit("")) for n in ("double", "single", "bare")]
-        href = F.coalesce(*quoted)
-        # Skipped kinds never reach the resolver.
-        wanted = F.when(~href.rlike(_SKIPPED), href)
-        text = F.regexp_replace(F.regexp_replace(anchor["inner"], "<[^>]*>", " "), "(?i)&nbsp;", " ")
+        value = F.regexp_extract(anchor, _HREF, 1)
+        href = F.nullif(F.regexp_replace(value, """^["']|["']$""", ""), F.lit(""))
+        # What names no page never reaches the resolver.
+        wanted = F.when(~href.rlike(_NO_PAGE), href)
+        content = F.regexp_extract(anchor, _CONTENT, 1)
+        text = F.regexp_replace(F.regexp_replace(content, "<[^>]*>", " "), "(?i)&nbsp;", " ")
         return F.struct(
             urls.resolve_url(wanted, source, keep_fragment=False).alias("url"),
             position.alias("position"),
@@ -46,7 +51,7 @@ def extract_links(
 
     same = lambda u: urls.same_site(urls.host_of(u), urls.host_of(source))
     found = F.filter(
-        F.transform(F.arrays_zip(*groups), link), lambda x: x["url"].isNotNull() & same(x["url"])
+        F.transform(anchors, link), lambda x: x["url"].isNotNull() & same(x["url"])
     )
     # Sorted by target and place, the first of each run of equal targets is the one to keep.
     pages = pages.withColumn("_found", F.array_sort(found))

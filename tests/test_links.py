@@ -145,3 +145,15 @@ def test_county_names_are_words(spark, one):
     said = lambda text, code: one(urls.looks_like_county(F.lit("https://h.ro/p"), F.lit(text), F.lit(code)))
     assert said("Rezultate Brasov 2024", "BV") and said("rezultate BRAȘOV", "BV") and said("Caras Severin", "CS")
     assert not said("revolta", "OT") and said("Jud. Olt", "OT") and said("lista-ot", "OT")
+
+
+def test_anchor_attributes(spark):
+    html = (
+        '<a data-href="/no" href="/one">1</a><a title="a > b" href=\'/two\'>2</a><a title="href=/no" HREF=/three class=x>3</a>'
+        '<a name="top">none</a><abbr href="/no">x</abbr><a href="">empty</a><a href="mailto:x@y.ro">m</a><a\nhref = "/four" >4<b>!</b></a >'
+    )
+    df = spark.createDataFrame([("https://h.ro/", html)], "url string, html string")
+    got = sorted((r["position"], r["url"], r["text"]) for r in links.extract_links(df).collect())
+    assert [(u, t) for _, u, t in got] == [
+        ("https://h.ro/one", "1"), ("https://h.ro/two", "2"), ("https://h.ro/three", "3"), ("https://h.ro/four", "4 !"),
+    ]
