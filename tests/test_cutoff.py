@@ -35,28 +35,24 @@ def fit(df, target, **kwargs):
     return cutoff.fit_cutoff_model(df, target, COLS, CutoffParams(**kwargs)).first()
 
 
-def test_one_quiet_season_keeps_the_priors(spark):
-    model = fit(history(spark, [0]), 2027)
-    assert model["sd"] == pytest.approx(math.hypot(0.25, 0.2))
-    assert model["evidence"] == "prior"
-
-
-@pytest.mark.parametrize("shift", [-80, 80])
-def test_shared_shocks_widen_the_answer(spark, shift):
-    model = fit(history(spark, [shift]), 2027)
-    assert model["tau"] == pytest.approx(0.8)
-    assert model["sd"] == pytest.approx(math.hypot(0.8, 0.25))
-    assert [tuple(s) for s in model["observed_shifts"]] == [(2026, shift / 100, 20)]
-
-
-def test_reversing_shocks_are_pooled_about_zero(spark):
-    model = fit(history(spark, [80, -40]), 2028)
-    assert model["tau"] == pytest.approx(math.sqrt((0.8**2 + 0.4**2) / 2))
-    assert model["evidence"] == "prior"
-
-
-def test_few_courses_are_no_evidence_of_a_shock(spark):
-    assert fit(history(spark, [80], count=4), 2027)["tau"] == 0.2
+def test_counties_are_told_apart(spark):
+    """SB moves by 0.55 in fifteen courses, BV stands still, CJ moves in three courses only."""
+    rows = []
+    for county, courses, moved in (("SB", 15, 55), ("BV", 15, 0), ("CJ", 3, 55)):
+        for i in range(courses):
+            rows += [offer(2030, i, 620 + 11 * i, county=county), offer(2031, i, 620 + 11 * i + moved, county=county)]
+    models = {m["county"]: m for m in cutoff.fit_cutoff_model(frame(spark, rows), 2032, COLS, CutoffParams()).collect()}
+    assert models["SB"]["tau"] == pytest.approx(0.55) and models["SB"]["sd"] == pytest.approx(math.sqrt(0.365))
+    assert [tuple(s) for s in models["SB"]["observed_shifts"]] == [(2031, 0.55, 15)]
+    for quiet in ("BV", "CJ"):
+        assert models[quiet]["tau"] == 0.2 and models[quiet]["sd"] == pytest.approx(math.sqrt(0.1025))
+    assert {m["evidence"] for m in models.values()} == {"prior"}
+
+
+def test_two_shifts_add_as_squares(spark):
+    """0.3 up and 0.1 up: the mean square is 0.05, not the square of the mean."""
+    model = fit(history(spark, [30, 10], count=12, start=2028), 2031)
+    assert model["tau"] == pytest.approx(math.sqrt(0.05)) and model["evidence"] == "prior"
 
 
 def test_the_older_estimator_keeps_tau_at_its_prior(spark):
