@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,20 @@ INVISIBLE = r"[\xAD\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 ODD_SPACE = r"[\xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 
 
+@cache
+def _may_compose() -> str:
+    """Class of the characters that composition can change or move: marks, the vowel and final
+    letters of Hangul, and what is not composed on its own."""
+    def touched(code: int) -> bool:
+        c = chr(code)
+        return 0x1161 <= code <= 0x11FF or unicodedata.category(c)[0] == "M" or not unicodedata.is_normalized("NFC", c)
+
+    codes = [c for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and touched(c)]
+    starts = [c for c, before in zip(codes, [-1, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -1], strict=True) if c != after - 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
@@ -25,9 +40,9 @@ def _nfc(text: pd.Series) -> pd.Series:
 def compose_nfc(text: Column) -> Column:
     """Canonical composition. Spark has no built-in for it, so this is the one Arrow UDF.
 
-    Text below U+0300 is composed already and is not sent to Python at all.
+    Only text with a character that composition could change is sent to Python.
     """
-    needed = F.when(text.rlike(r"[\x{300}-\x{10FFFF}]"), text)
+    needed = F.when(text.rlike(_may_compose()), text)
     return F.coalesce(_nfc(needed), text)
 
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradecut.session import cut_lineage
+from gradecut.session import checked_broadcast, cut_lineage
+
+MAX_CELLS = 100_000
 
 
 def rank_within(
@@ -81,22 +83,40 @@ def even_sample(
 ) -> DataFrame:
     """``count`` evenly spaced rows of every stratum in sort order; all rows of small strata.
 
-    ``count`` may be a column of the stratum. Copies are folded into one weighted row before anything is sorted; ``distinct`` drops
-    them instead. Deterministic: no random numbers are involved.
+    ``count`` may be a column of the stratum. Copies count as rows of their own; ``distinct``
+    takes them as one. Deterministic: no random numbers are involved.
+
+    Rows are first counted by cell, the leading two columns of ``order``. Running counts over
+    the cells tell which of them hold a wanted position, and only their rows are ranked. On
+    marks in hundredths there are at most 901 x 901 cells in a stratum, however many rows.
     """
     columns = df.columns
     count = F.lit(count) if isinstance(count, int) else count
-    folded = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    if distinct:
-        folded = folded.withColumn("_copies", F.lit(1).cast("bigint"))
-    rest = [c for c in columns if c not in order and c not in strata]
-    keys = [F.col(c) for c in [*order, *rest]]
-    weight = None if distinct else "_copies"
-    ranked = rank_within(folded, strata, keys, "_rank", "_size", weight=weight)
-    taken = _picks_below(F.col("_rank") + F.col("_copies"), F.col("_size"), count) - _picks_below(
-        F.col("_rank"), F.col("_size"), count
+    rows = df.distinct() if distinct else df
+    cell = [*strata, *order[:2]]
+    per_cell = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*strata)
+    until = whole.orderBy(*order[:2]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = per_cell.withColumns({"_upto": F.sum("_n").over(until), "_size": F.sum("_n").over(whole)})
+
+    def picked(low: Column, high: Column) -> Column:
+        return _picks_below(high, F.col("_size"), count) - _picks_below(low, F.col("_size"), count)
+
+    holding = placed.filter((F.col("_size") <= count) | (picked(F.col("_upto") - F.col("_n"), F.col("_upto")) > 0))
+    names = {c: f"_cell_{i}" for i, c in enumerate(cell)}
+    holding = checked_broadcast(
+        holding.select(*[F.col(c).alias(n) for c, n in names.items()], (F.col("_upto") - F.col("_n")).alias("_earlier"), "_size"),
+        MAX_CELLS,
     )
-    taken = F.when(F.col("_size") <= count, F.col("_copies")).otherwise(taken)
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    near = df.join(holding, on=same).select(*columns, "_earlier", "_size")
+    copies = F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))
+    folded = near.groupBy(*columns, "_earlier", "_size").agg(copies.alias("_copies"))
+    rest = [c for c in columns if c not in cell]
+    keys = [F.col(c) for c in [*[c for c in order if c in rest], *[c for c in rest if c not in order]]] or [F.lit(0)]
+    ranked = rank_within(folded, cell, keys, "_rank", "_cell_size", weight=None if distinct else "_copies")
+    low = F.col("_earlier") + F.col("_rank")
+    taken = F.when(F.col("_size") <= count, F.col("_copies")).otherwise(picked(low, low + F.col("_copies")))
     return (
         ranked.withColumn("_taken", taken)
         .filter("_taken > 0")
@@ -140,9 +160,13 @@ def pick_representative(
 
 
 def last_write_wins(df: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
-    """The row with the highest ``sequence`` of every key, combined before the shuffle."""
+    """The row with the highest ``sequence`` of every key, combined before the shuffle.
+
+    Among equal ones the row whose remaining columns are largest wins, so that the choice is the
+    same in every run.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(sequence)).alias("_row")
+    newest = F.max_by(F.struct(*rest), F.struct(sequence, *[c for c in rest if c != sequence])).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
 
 
