@@ -858,3 +858,52 @@ SELECT CAST(year AS INTEGER) AS year, substr(county, 1, 2) AS county, school AS
             WHEN odd = 5 AND NOT vocational THEN 'f: no such track' WHEN odd = 3 THEN 'nlo: not a count'
             WHEN odd = 8 THEN 'um: key is absent' END AS error
 FROM o"""
+
+ORACLES["results_csv"] = ORACLES["exam_results_parse"]
+ORACLES["first_mismatches"] = f"""
+WITH {CANDIDATES}
+SELECT county, candidate_id, romana_h, materna_h, matematica_h, media_h FROM candidates
+WHERE media_h <> CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h) // 2
+                      ELSE (romana_h + materna_h + matematica_h) // 3 END
+ORDER BY county, candidate_id LIMIT 10"""
+ORACLES["school_directory"] = f"""
+WITH {CANDIDATES},
+d AS (SELECT c_custkey AS code FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7')
+SELECT 'result' AS what, school_id AS code, count(*) AS n FROM candidates WHERE school_id IN (SELECT code FROM d) GROUP BY 2
+UNION ALL SELECT 'observed', code, count(*) FROM d WHERE code IN (SELECT school_id FROM candidates) GROUP BY code"""
+ORACLES["romanian_order"] = """
+WITH n AS (
+  SELECT c_custkey, n_regionkey AS region, CASE c_custkey % 4 WHEN 0 THEN lower(n_name)
+         WHEN 1 THEN translate(lower(n_name), 'ast', 'ășț') WHEN 2 THEN translate(lower(n_name), 'ai', 'âî')
+         ELSE translate(lower(n_name), 'e', 'a') END AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT *, replace(replace(replace(replace(replace(name, 'ă', 'a~'), 'â', 'a~~'), 'î', 'i~'), 'ș', 's~'), 'ț', 't~') AS letters FROM n)
+SELECT region, c_custkey, name, row_number() OVER (PARTITION BY region ORDER BY letters, c_custkey) - 1 AS place FROM k"""
+ORACLES["index_violations"] = f"""
+WITH {OFFERS},
+i AS (SELECT CAST(year + 10 AS INTEGER) AS year, substr(county, 1, 2) AS county, count(*) % 5 AS odd FROM offers GROUP BY 1, 2)
+SELECT concat(CAST(year AS VARCHAR), '/', county, '.json') AS dataset,
+       CASE odd WHEN 1 THEN 'path' WHEN 2 THEN 'provenance' WHEN 3 THEN 'count' ELSE 'unique' END AS rule, 1::BIGINT AS n
+FROM i WHERE odd > 0"""
+ORACLES["county_index"] = f"""
+WITH {OFFERS},
+i AS (SELECT year, county, count(*) AS n FROM offers GROUP BY year, county)
+SELECT county, string_agg(concat(CAST(year AS VARCHAR), ':', CAST(year AS VARCHAR), '/', county, '.json:', CAST(n AS VARCHAR)), ' '
+                          ORDER BY year DESC) AS datasets
+FROM i GROUP BY county"""
+ORACLES["normalized_roundtrip"] = f"""
+WITH {OFFERS}
+SELECT CAST(year + 10 AS INTEGER) AS year, substr(county, 1, 2) AS county, count(*) AS n,
+       CAST(sum(last_media_h) AS BIGINT) AS total_h, 0::BIGINT AS out_of_order
+FROM offers GROUP BY 1, 2"""
+ORACLES["history_facts"] = f"""
+WITH {OFFERS}, {_HISTORY}
+SELECT saved_id, year, spec_id, CASE WHEN year % 2 = 0 THEN 'official' ELSE 'synthetic' END AS provenance,
+       concat('HTTPS://example.org/', CAST(year AS VARCHAR), ' http://x.org') AS sources,
+       concat(CAST(year AS VARCHAR), '-07-15') AS published_on
+FROM ranked"""
+ORACLES["audit_json"] = f"""
+WITH audit AS ({ORACLES["forecast_audit"]})
+SELECT max(matched) FILTER (county = 'ALL')::BIGINT AS matched, count(*) FILTER (county <> 'ALL') AS groups,
+       string_agg(concat(county, ':', CAST(matched AS VARCHAR)), ' ' ORDER BY county) FILTER (county <> 'ALL') AS reports
+FROM audit"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradecut.functions import keys, marks, sql, text, urls
@@ -113,13 +113,12 @@ def truncate_parse_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def exam_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheet-style text back to typed results: prefixes, noise in doubles, blanks, dashes."""
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a sheet has them: prefixes, noise in doubles, blanks, dashes."""
     results = views.candidates(spark, sf_dir)
     noisy = lambda c: ((F.col(c) / 100) + 0.0000000000001).cast("string")
     prefix = F.format_string("%02d", F.col("school_id") % 55)
-    sheet = results.select(
+    return results.select(
         F.concat(F.lit(" "), prefix, F.format_string("%08d", "school_id")).alias("school_code"),
         F.when(F.col("line") % 2 == 0, " Urban ").otherwise("RURAL").alias("setting"),
         F.coalesce(noisy("romana_h"), F.lit("-")).alias("romana_h"),
@@ -128,7 +127,9 @@ def exam_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         noisy("media_h").alias("media_h"),
         noisy("school_media_h").alias("school_media_h"),
     )
-    parsed = exams.results_of(sheet, strict=False)
+
+
+def _parsed_totals(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(
         "county", keys.county_name(F.col("county")).alias("county_name"), "urban", F.col("error").isNotNull().alias("refused")
     ).agg(
@@ -139,6 +140,67 @@ def exam_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def exam_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet-style text back to typed results."""
+    return _parsed_totals(exams.results_of(_sheet(spark, sf_dir), strict=False))
+
+
+@query
+def results_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sheet as a CSV file among other columns, its headings in any case and spacing."""
+    sheet = _sheet(spark, sf_dir)
+    named = [F.col(ours).alias(f" {theirs.title()} ") for ours, theirs in exams.RESULT_HEADINGS.items()]
+    folder = shared_path(spark, "results")
+    sheet.select(F.lit("x").alias("NR"), *reversed(named)).write.option("header", True).csv(folder)
+    return _parsed_totals(exams.read_results(spark, folder, strict=False))
+
+
+@query
+def first_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first results whose average cannot be reproduced."""
+    wrong = evaluate.with_media_status(views.candidates(spark, sf_dir)).filter("status = 'mismatch'")
+    return ranking.first_n(wrong, [F.col("county"), F.col("candidate_id")], 10).select(
+        "county", "candidate_id", "romana_h", "materna_h", "matematica_h", "media_h"
+    )
+
+
+@query
+def school_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of one country's customers as schools, and how many of them have results."""
+    nation = table(spark, sf_dir, "nation").filter("n_name = 'NATION_7'").select("n_nationkey")
+    schools = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    directory = cut_lineage(schools.select(F.col("c_custkey").alias("code")))
+    results = views.candidates(spark, sf_dir).withColumnRenamed("school_id", "school_code")
+    kept = exams.restrict_to_schools(results, directory)
+    seen = exams.observed_schools(directory, results).select(F.lit("observed").alias("what"), F.col("code"))
+    return (
+        kept.select(F.lit("result").alias("what"), F.col("school_code").alias("code"))
+        .unionByName(seen)
+        .groupBy("what", "code")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query
+def romanian_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with and without diacritics in Romanian alphabetical order, per region."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("_name"))
+    plain, kind = F.col("_name"), F.col("c_custkey") % 4
+    name = (
+        F.when(kind == 0, plain)
+        .when(kind == 1, F.translate(plain, "ast", "ășț"))
+        .when(kind == 2, F.translate(plain, "ai", "âî"))
+        .otherwise(F.translate(plain, "e", "a"))
+    )
+    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("n_regionkey").alias("region"), name.alias("name")
+    )
+    ranked = ranking.rank_within(named, ["region"], [text.ro_order(F.col("name")), F.col("c_custkey")], "place", "_size")
+    return ranked.select("region", "c_custkey", "name", "place")
+
+
 @query
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = text.normalize_text(F.col("text"))
@@ -294,6 +356,52 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index with faults that follow from its counts, by the rule they break."""
+    index = cut_lineage(sinks.build_index(_publishable(spark, sf_dir)))
+    odd = F.col("row_count") % 5
+    faulty = index.filter(odd != 4).select(
+        "year",
+        "county",
+        F.when(odd == 1, "elsewhere.json").otherwise(F.col("path")).alias("path"),
+        F.when(odd == 3, -F.col("row_count")).otherwise(F.col("row_count")).alias("row_count"),
+        F.when(odd == 2, "guess").otherwise(F.col("provenance")).alias("provenance"),
+    )
+    twice = index.filter(odd == 4)
+    broken = contracts.index_violations(faulty.unionByName(twice).unionByName(twice))
+    return broken.groupBy("dataset", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def county_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each county's datasets, newest first."""
+    listed = sinks.index_by_county(sinks.build_index(views.offers(spark, sf_dir), VIEW_COLS))
+    entry = lambda d: F.concat_ws(":", d["year"].cast("string"), d["path"], d["row_count"].cast("string"))
+    return listed.select("county", F.array_join(F.transform("datasets", entry), " ").alias("datasets"))
+
+
+@query
+def normalized_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history united from two parts, written in its fixed order and read back."""
+    offers = cut_lineage(_publishable(spark, sf_dir))
+    early = offers.filter("year < 2006").drop("provenance")
+    history = sets.union_history([early, offers.filter("year >= 2006")]).withColumn(
+        "provenance", F.coalesce("provenance", F.lit("official"))
+    )
+    folder = shared_path(spark, "normalized")
+    sinks.write_normalized(history, folder)
+    file, key = F.col("_metadata.file_path"), F.struct("school_code", "spec_id")
+    read = spark.read.parquet(folder).select(
+        "*", file.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+    )
+    in_file = Window.partitionBy("_file").orderBy("_block", "_at")
+    placed = read.withColumn("_late", F.lag(key).over(in_file) > key)
+    return placed.groupBy(F.col("year").cast("int").alias("year"), "county").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("last_media_h").alias("total_h"), F.count_if("_late").alias("out_of_order")
+    )
+
+
 @query
 def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers written as the contract's JSON documents and read back, marks exact."""
@@ -450,6 +558,26 @@ def course_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("saved_id", "year", "spec_id", "last_media_h", F.col("history_rank").cast("bigint").alias("history_rank"))
 
 
+@query
+def history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Course histories with provenance, citable sources and publication date of each year."""
+    offers = _offers(spark, sf_dir)
+    saved = offers.filter(F.col("year") == HOLDOUT_YEAR).withColumn(
+        "saved_id", F.concat_ws("/", "county", "school", "spec_id")
+    )
+    history = matching.course_history(saved, offers, VIEW_COLS, epoch_year=EPOCH_YEAR)
+    year = F.col("year").cast("string")
+    datasets = offers.select("county", "year").distinct().select(
+        "county",
+        "year",
+        F.when(F.col("year") % 2 == 0, "official").otherwise("synthetic").alias("provenance"),
+        F.array(F.concat(F.lit("HTTPS://example.org/"), year), F.lit("a note"), F.lit("http://x.org")).alias("sources"),
+        F.concat(year, F.lit("-07-15T10:00:00Z")).alias("generated_at"),
+    )
+    facts = matching.historical_facts(history, datasets, VIEW_COLS)
+    return facts.select("saved_id", "year", "spec_id", "provenance", F.array_join("sources", " ").alias("sources"), "published_on")
+
+
 @query
 def saved_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories saved as snapshots, some of them spoilt, checked again."""
@@ -629,6 +757,20 @@ def forecast_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.withColumn("county", F.coalesce("county", F.lit("ALL"))))
 
 
+@query
+def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit as one JSON document, read again."""
+    audit = evaluate.forecast_audit(_offers(spark, sf_dir), HOLDOUT_YEAR, VIEW_COLS)
+    report = sinks.audit_report(audit, VIEW_COLS)
+    value = lambda path: F.get_json_object("report", path)
+    reports = F.from_json(value("$.reports"), "array<struct<county:string,matched:bigint>>")
+    return report.select(
+        value("$.matched").cast("bigint").alias("matched"),
+        value("$.groups").cast("bigint").alias("groups"),
+        F.array_join(F.transform(reports, lambda r: F.concat_ws(":", r["county"], r["matched"].cast("string"))), " ").alias("reports"),
+    )
+
+
 @query
 def estimator_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.compare_estimators(_offers(spark, sf_dir), HOLDOUT_YEAR, VIEW_COLS))
