@@ -11,8 +11,8 @@ The fit takes a bounded sample (``PER_CLASS`` labelled rows of each class, texts
 whole text.
 
 Null, empty and wordless texts have no sentence: score 0, no spans. Repeated rows are scored
-alike. Without labelled rows of both classes the model has no words, and every sentence gets the
-share of toxic labels seen (0 without labels) spread over the document's sentences. Labels that
+alike. Without labelled rows of both classes, or words that tell them apart, there is nothing to
+go by and every score is 0 (to nine decimals for texts of a million sentences). Labels that
 repeat an id count once, as toxic if one of them says so; null labels do not count. Other columns
 of the input are ignored.
 """
@@ -39,6 +39,7 @@ STEPS = 200
 RATE = 0.15
 DECAY = 1e-5
 START_BIAS = -5.0
+NO_EVIDENCE = -36.0
 THRESHOLD = 0.7
 OFFENDING = 0.5
 
@@ -97,8 +98,7 @@ def fit_bags(bags: Iterable[list[set[str]]], labels: list[int], steps: int = STE
                 seen_toxic.update(words)
             y.append(label)
     if len(set(y)) < 2:
-        share = sum(labels) / len(labels) if labels else 0.0
-        return ToxicityModel({}, float(np.log(max(share, 1e-6) / (1 - min(share, 1 - 1e-6)))))
+        return ToxicityModel({}, NO_EVIDENCE)
     share = sum(y) / len(y)
     apart = {
         w: abs(seen_toxic[w] - n * share) / (n * share * (1 - share) * (1 - n / (len(y) + 1))) ** 0.5
@@ -108,7 +108,7 @@ def fit_bags(bags: Iterable[list[set[str]]], labels: list[int], steps: int = STE
     del seen, seen_toxic
     kept = sorted((w for w, z in apart.items() if z >= ASSOCIATION), key=lambda w: (-apart[w], w))[:MAX_WORDS]
     if not kept:
-        return ToxicityModel({}, float(np.log(share / (1 - share))))
+        return ToxicityModel({}, NO_EVIDENCE)
     index = {w: i for i, w in enumerate(kept)}
     flat: list[int] = []
     sentence_of: list[int] = []
