@@ -237,7 +237,9 @@ def _contract_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(odd == 3, F.col("year") + 200).otherwise(F.col("year") + 10).alias("year"),
         F.substring("county", 1, 2).alias("county"),
         F.col("school").alias("school_code"),
-        F.when(odd == 1, F.concat(F.col("school"), F.lit(" "))).otherwise(F.col("school")).alias("school_name"),
+        F.when(odd == 1, F.concat(F.col("school"), F.when(F.col("year") % 2 == 0, "\n").otherwise(" ")))
+        .otherwise(F.col("school"))
+        .alias("school_name"),
         F.when(F.col("course_label") == "Shared", "Shared").otherwise(F.col("spec_id")).alias("spec_id"),
         F.when(odd == 2, "").otherwise(F.col("course_label")).alias("spec_label"),
         F.lit("").alias("profile"),

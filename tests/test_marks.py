@@ -54,7 +54,7 @@ def test_published_cells(one, cell, expected):
 @pytest.mark.parametrize("cell", ["abc", "11", "0,5", "9,8,5", "123"])
 def test_unknown_cells_fail(one, cell):
     assert one(marks.media_cell_error(F.lit(cell))) is not None
-    with pytest.raises(Exception, match="no mark"):
+    with pytest.raises(Exception, match="no mark|outside"):
         one(marks.parse_media_cell(F.lit(cell)))
 
 
