@@ -42,7 +42,8 @@ def compose_nfc(text: Column) -> Column:
 
     Only text with a character that composition could change is sent to Python.
     """
-    needed = F.when(text.rlike(_may_compose()), text)
+    # Most text has nothing above U+0300, which is quickly told; only the rest is looked at closely.
+    needed = F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(_may_compose()), text)
     return F.coalesce(_nfc(needed), text)
 
 

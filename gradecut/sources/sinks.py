@@ -19,6 +19,7 @@ from gradecut.operators.contracts import (
 from gradecut.operators.ranking import even_sample
 from gradecut.params import SCHEMA_VERSION
 from gradecut.schemas import NESTED_ROW, OFFER
+from gradecut.session import cut_lineage
 
 _ROW_ORDER = ("year", "county", "school_code", "spec_id")
 
@@ -236,7 +237,9 @@ def media_sample(results: DataFrame, counts: dict[str, int] | None = None) -> Da
     counts = counts or MEDIA_SAMPLE
     wanted = F.create_map(*[F.lit(v) for pair in counts.items() for v in pair])
     count = F.try_element_at(wanted, F.col("form"))
-    return even_sample(distinct.filter(F.col("form").isin(*counts)), ["form"], marks, count, distinct=True)
+    # One row per combination by now, so nothing is left to fold; written once, as it is read twice.
+    folded = cut_lineage(distinct.filter(F.col("form").isin(*counts)))
+    return even_sample(folded, ["form"], marks, count)
 
 
 def write_csv_sample(sample: DataFrame, path: str, headings: dict[str, str]) -> None:
