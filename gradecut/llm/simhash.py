@@ -317,10 +317,13 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     )
 
 
-def components(prints: DataFrame) -> DataFrame:
-    """fp, root and component_id of every distinct fingerprint of ``prints`` (doc_id, fp)."""
+def components(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """fp, root and component_id of every distinct fingerprint of ``prints`` (doc_id, fp).
+
+    ``edges`` (a, b) link fingerprints in place of the trie join.
+    """
     each = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    roots = connected(links(each.select("fp")))
+    roots = connected(links(each.select("fp")) if edges is None else edges)
     known = each.join(roots, each["fp"] == roots["node"], "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root")
     )
@@ -344,7 +347,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     in id and text are folded.
     """
     prints = fingerprints(documents)
-    classes = components(prints)
+    return keep_first(documents, prints, components(prints))
+
+
+def keep_first(documents: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """``keep_one`` for given ``prints`` (doc_id, text_hash, fp) and ``classes`` (fp, root, component_id)."""
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     chosen = cut_lineage(
         prints.join(classes, "fp").filter(own).groupBy("root").agg(
