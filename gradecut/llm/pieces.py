@@ -18,7 +18,7 @@ node of the best path over another edge), so the search runs only where its answ
 Scores: ``"zipf"`` takes a piece of rank r as probable as 1 / r, which suits vocabularies
 whose stored scores are merge ranks; ``"stored"`` takes the stored scores, which suits
 unigram vocabularies. Among equals the best segmentation is the one with the longest last piece,
-the others follow by their ids, and equal losses go to the earlier word.
+the others follow by their ids (where more are equal than wanted, the search takes any), and equal losses go to the earlier word.
 
 Null texts give null, empty texts no ids and the score 0. Any other text decodes to itself
 whatever it holds, word marks and control strings included (lone surrogates cannot occur in a
@@ -295,24 +295,38 @@ class Segmenter:
         return begins, flat, scores, losses
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one stretch, by A-star from its end with prefix scores as heuristics."""
+        """The n best segmentations of one stretch, by A-star from its end with prefix scores as heuristics.
+
+        A heap entry points to the step it was reached by, and ids are put together for finished
+        paths only. A place is left at most n times, as n better ways to it make n better paths,
+        so that memory grows with the stretch and not with its square.
+        """
         size = len(word)
         best = [0.0] + [-math.inf] * size
-        incoming: list[list] = [[]]
         for stop in range(1, size + 1):
-            edges = self._incoming(word, stop)
-            incoming.append(edges)
-            best[stop] = max(best[start] + score for score, _, start in edges)
-        heap = [(-best[size], (), size, 0.0)]
+            best[stop] = max(best[start] + score for score, _, start in self._incoming(word, stop))
+        steps: list[tuple[tuple[int, ...], int]] = []  # ids of an edge and the step after it
+        left: dict[int, int] = {}
+        heap = [(-best[size], size, 0, 0.0, (), -1)]
+        pushed = 0
         out = []
         while heap and len(out) < n:
-            total, ids, stop, behind = heapq.heappop(heap)
+            total, stop, _, behind, edge, after = heapq.heappop(heap)
             if stop == 0:
-                out.append((-total, ids))
+                ids = list(edge)
+                while after >= 0:
+                    edge, after = steps[after]
+                    ids += edge
+                out.append((-total, tuple(ids)))
                 continue
-            for score, edge, start in incoming[stop]:
-                heapq.heappush(heap, (-(best[start] + score + behind), edge + ids, start, score + behind))
-        return out
+            left[stop] = left.get(stop, 0) + 1
+            if left[stop] > n:
+                continue
+            steps.append((edge, after))
+            for score, edge, start in self._incoming(word, stop):
+                pushed += 1
+                heapq.heappush(heap, (-(best[start] + score + behind), start, pushed, score + behind, edge, len(steps) - 1))
+        return sorted(out, key=lambda found: (-found[0], found[1]))
 
     def encode_batch(self, texts: list[str], n: int = NBEST) -> tuple[np.ndarray, np.ndarray, list, list]:
         """Where each text's best ids end, the ids, and of each text the n best scores and the edits

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -281,6 +282,21 @@ def test_ties_keep_alternatives_apart():
     assert len({tuple(ids) for _, ids in got}) == len(got) == len(brute_segmentations(segmenter, " aaba", 6))
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "a"])
+def test_long_stretch_in_little_memory(vocabulary, alphabet):
+    rng, segmenter = random.Random(7), pieces.Segmenter(vocabulary)
+    word = "".join(rng.choices(alphabet, k=200_000))
+    tracemalloc.start()
+    try:
+        got = segmenter.encode(word, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 700_000_000
+    assert len({tuple(ids) for _, ids in got}) == 3 and all(segmenter.decode(ids) == word for _, ids in got)
+    assert got[0][0] >= got[1][0] >= got[2][0]
+
+
 def test_pieces_edges(spark, vocabulary):
     docs = odd.documents(spark)
     rows = pieces.tokenize(docs, vocabulary).collect()
