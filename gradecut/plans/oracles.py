@@ -833,6 +833,11 @@ SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(new_files) AS
        CAST(0 AS BIGINT) AS failed, count(*) FILTER (truncated) AS stopped, count(*) AS crawls
 FROM (SELECT crawl, truncated, count(*) AS pages, count(*) FILTER (j % 3 <> 0) AS new_files
       FROM kept WHERE i <= 20 GROUP BY crawl, truncated)"""
+ORACLES["harvest_summary_whole"] = f"""
+WITH RECURSIVE {_TREE}
+SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(new_files) AS BIGINT) AS new_files,
+       CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS stopped, count(*) AS crawls
+FROM (SELECT crawl, count(*) AS pages, count(*) FILTER (j % 3 <> 0) AS new_files FROM kept GROUP BY crawl)"""
 ORACLES["sql_functions"] = f"""
 WITH {CANDIDATES},
 a AS (SELECT county, ((CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h) // 2

@@ -893,10 +893,8 @@ def discovery_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.select("crawl", "year", "county", seen.alias("seen"))
 
 
-@query
-def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per year of a capped crawl, the files newly staged, and the crawls the cap stopped."""
-    crawls, _, reached = _crawled(spark, sf_dir, CAPPED)
+def _harvest(spark: SparkSession, sf_dir: str, max_pages: int | None) -> DataFrame:
+    crawls, _, reached = _crawled(spark, sf_dir, max_pages)
     reached = cut_lineage(reached)
     number = F.regexp_extract("url", "([0-9]+)[.]html$", 1).cast("int")
     before = reached.filter(number % 3 == 0).select("url", F.concat(F.sha1("url"), F.lit(".html")).alias("file"))
@@ -910,6 +908,18 @@ def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.harvest_summary(results)
 
 
+@query
+def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per year of a capped crawl, the files newly staged, and the crawls the cap stopped."""
+    return _harvest(spark, sf_dir, CAPPED)
+
+
+@query
+def harvest_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per year of a crawl that follows everything, and the files newly staged."""
+    return _harvest(spark, sf_dir, None)
+
+
 @query
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions registered for SQL, used from SQL."""

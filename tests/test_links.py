@@ -133,6 +133,15 @@ def test_summary(spark):
         raise AssertionError("expected a failure")
 
 
+def test_whole_summary_holds_every_page(spark):
+    from gradecut.plans import workloads
+
+    sf = "/root/testdata/sf0.01"
+    row = workloads.harvest_summary_whole(spark, sf).first()
+    assert (row["pages"], row["stopped"], row["crawls"]) == (workloads.descend(spark, sf).count(), 0, 5)
+    assert row["pages"] > 5 * workloads.CAPPED
+
+
 def test_first_fetched_page_stays(spark):
     rows = [("https://h.ro/a#x", 3, "late"), ("https://h.ro/a", 1, "first"), ("https://h.ro/a", 2, "then"), ("https://h.ro/b", None, "b")]
     df = spark.createDataFrame(rows, "url string, fetched_at int, html string").withColumn("url", F.regexp_replace("url", "#.*", ""))
