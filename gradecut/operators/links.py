@@ -235,7 +235,9 @@ def stage_names(
     """File names for pages to stage, with ``existing`` set where one was staged before.
 
     ``picks`` has county, year and url; ``staged`` has url and file. The first page of a
-    name keeps it plain unless a staged file has it already; later ones add a short hash.
+    name keeps it plain unless a staged file has it already; later ones add a short hash, which
+    is longer (16, then all 40 digits) where two new pages or a staged file would share the name.
+    A page that occurs in several rows has one name.
     """
     if staged is None:
         known = picks.withColumn("_file", F.lit(None).cast("string"))
@@ -254,12 +256,24 @@ def stage_names(
     if taken is not None:
         named = named.join(taken.withColumn("_taken", F.lit(True)), "_stem", "left")
         plain = plain & F.col("_taken").isNull()
-    file = (
-        F.when(~fresh, F.col("_file"))
-        .when(plain, F.concat("_stem", F.lit(".html")))
-        .otherwise(F.concat("_stem", F.lit("-"), urls.short_hash(F.col("url")), F.lit(".html")))
-    )
-    return named.select(*picks.columns, file.alias("file"), (~fresh).alias("existing"))
+    named = named.withColumn("_plain", plain)
+
+    def name(digits: int) -> Column:
+        hashed = F.concat("_stem", F.lit("-"), urls.short_hash(F.col("url"), digits), F.lit(".html"))
+        own = F.when(F.col("_plain"), F.concat("_stem", F.lit(".html"))).otherwise(hashed)
+        return F.when(F.col("_file").isNull(), own).otherwise(F.col("_file"))
+
+    named = named.withColumn("_name", name(6))
+    for digits in (16, 40):
+        new = named.filter(fresh).groupBy("_name").agg(F.min("url").alias("_low"), F.max("url").alias("_high"))
+        clash = new.filter(F.col("_low") != F.col("_high")).select("_name")
+        if staged is not None:
+            clash = clash.union(new.select("_name").join(staged.select(F.col("file").alias("_name")), "_name", "left_semi"))
+        clash = clash.distinct().withColumn("_clash", F.lit(True))
+        longer = fresh & ~F.col("_plain") & F.col("_clash").isNotNull()
+        named = named.join(clash, "_name", "left").withColumn("_name", F.when(longer, name(digits)).otherwise(F.col("_name")))
+        named = named.drop("_clash")
+    return named.select(*picks.columns, F.col("_name").alias("file"), (~fresh).alias("existing"))
 
 
 def stage(

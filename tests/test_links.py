@@ -115,6 +115,18 @@ def test_staging(spark):
     assert files["https://h.ro/d/used.html"].startswith("sb-2024-used-")
 
 
+def test_staged_names_do_not_collide(spark):
+    many = [(f"https://h.ro/{i}/", 2024, "SB", i) for i in range(20_000)]  # six digits clash about a dozen times
+    picks = spark.createDataFrame(many, "url string, year int, county string, pick_rank int")
+    files = [r["file"] for r in links.stage_names(picks).collect()]
+    assert len(files) == len(set(files)) == 20_000
+    short = {r["url"]: r["file"] for r in links.stage_names(picks.limit(50)).collect()}
+    url = "https://h.ro/7/"
+    staged = spark.createDataFrame([("https://gone.ro/", short[url])], "url string, file string")
+    again = {r["url"]: r["file"] for r in links.stage_names(picks.limit(50), staged).collect()}
+    assert again[url] != short[url] and again[url].startswith(short[url][:-5])
+
+
 def test_pages_are_deduplicated_by_canonical_address(spark):
     df = spark.createDataFrame([("HTTP://h.ro",), ("http://h.ro/",), ("http://h.ro:80/",), ("http://h.ro/x",)], "url string")
     assert links.dedupe_pages(df).count() == 2
