@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradecut.llm import chat, decontaminate, language, licenses, mainpage, pieces, reputation, simhash, topk, toxicity
+from gradecut.llm import chat, decontaminate, language, lexical, licenses, mainpage, pieces, quality, reputation, simhash, topk
+from gradecut.llm import toxicity, whitening
 from gradecut.llm.common import held_out, read_table
 
 
@@ -72,6 +73,23 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that match each benchmark item best."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether the quality rules keep it."""
+    return quality.judge(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pieces": op9_pieces,
     "op10_topk": op10_topk,
+    "op11_lexical": op11_lexical,
+    "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
 
 _CHAT = """
@@ -225,4 +246,74 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op5_chat": _CHAT, "op6_reputation": _REPUTATION, "op10_topk": _TOPK}
+_LEXICAL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+asked AS (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+),
+wanted AS (SELECT q, item_id, term, count(*) AS repeats FROM asked GROUP BY ALL),
+whole AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs),
+each AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM each SEMI JOIN wanted USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weighted AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, whole
+),
+scored AS (
+    SELECT q, item_id, r, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM wanted JOIN tf USING (term) JOIN weighted USING (term), whole
+    GROUP BY q, item_id, r, doc_id
+),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r) AS INT) AS rank
+    FROM scored WHERE score > 0 AND doc_id IS NOT NULL
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_STOPS = sorted({w for words in quality.STOP_WORDS.values() for w in words.split()})
+
+_QUALITY = rf"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+    SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+        len(list_filter(regexp_extract_all(lower(text), '\p{{L}}+'), lambda x: x IN ({", ".join(f"'{w}'" for w in _STOPS)}))) AS stops
+    FROM given
+),
+places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM cut),
+windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS times FROM places
+),
+repeated AS (
+    SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS pos FROM windows WHERE times > 1) GROUP BY r
+),
+counts AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, stops, len(lines) AS n_lines
+    FROM cut LEFT JOIN repeated USING (r)
+),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 100 * word_chars BETWEEN 250 * n_words AND 1200 * n_words AND 100 * n_symbols <= 20 * n_words
+        AND 100 * stops >= 6 * n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept
+FROM based
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_chat": _CHAT,
+    "op6_reputation": _REPUTATION,
+    "op10_topk": _TOPK,
+    "op11_lexical": _LEXICAL,
+    "op13_quality": _QUALITY,
+}

@@ -19,7 +19,7 @@ SMALL = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_reference_sql(spark, name):
     con = duckdb.connect()
-    for table in ("conversations", "pages", "labels", "embeddings"):
+    for table in ("conversations", "pages", "labels", "embeddings", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = QUERIES[name](spark, SMALL)
     found = con.execute(ORACLES[name])
