@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +67,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
 
 
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system that its path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove at the end what ``cut_lineage`` has written inside.
+
+    Gives a function that writes a table which outlives the block: whatever is used after it must
+    have gone through that function, and must no longer need the removed tables.
+    """
+    outer, own = _folders.get(), []
+    token = _folders.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _folders.set(outer)
+        try:
+            return cut_lineage(df)
+        finally:
+            _folders.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _folders.reset(token)
+        for path in own:
+            remove_folder(spark, path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -71,6 +108,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     filters, and the optimizer knows the true size when it chooses a join.
     """
     path = shared_path(df.sparkSession, "stage")
+    if (made := _folders.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
