@@ -119,12 +119,8 @@ def duplicate_violations(offers: DataFrame, dataset: Column, key: list[str]) ->
     )
 
 
-def dataset_violations(datasets: DataFrame, offers: DataFrame) -> DataFrame:
-    """Headers and rows of published datasets.
-
-    ``datasets`` holds one header per dataset; ``offers`` carries the ``dataset_year`` and
-    ``dataset_county`` each row was filed under.
-    """
+def header_violations(datasets: DataFrame) -> DataFrame:
+    """Headers of published datasets, one row each."""
     c = F.col
     blank_source = F.exists("sources", lambda s: s.isNull() | (s == ""))
     headers: list[Rule] = [
@@ -141,16 +137,29 @@ def dataset_violations(datasets: DataFrame, offers: DataFrame) -> DataFrame:
             "made-up data cannot have sources",
         ),
     ]
-    name = F.concat_ws("/", c("year").cast("string"), "county")
-    filed = F.concat_ws("/", c("dataset_year").cast("string"), "dataset_county")
-    where = keys.spec_key(c("school_code"), c("spec_id"))
-    placed: list[Rule] = [
+    return _broken(datasets, F.concat_ws("/", c("year").cast("string"), "county"), F.lit("$"), headers)
+
+
+def filing_rules() -> list[Rule]:
+    """That a row lies in the dataset it belongs to."""
+    c = F.col
+    return [
         ("year", "year", ~c("year").eqNullSafe(c("dataset_year")), "differs from its dataset"),
         ("county", "county", ~c("county").eqNullSafe(c("dataset_county")), "differs from its dataset"),
     ]
+
+
+def dataset_violations(datasets: DataFrame, offers: DataFrame) -> DataFrame:
+    """Headers and rows of published datasets.
+
+    ``datasets`` holds one header per dataset; ``offers`` carries the ``dataset_year`` and
+    ``dataset_county`` each row was filed under.
+    """
+    filed = F.concat_ws("/", F.col("dataset_year").cast("string"), "dataset_county")
+    where = keys.spec_key(F.col("school_code"), F.col("spec_id"))
     return (
-        _broken(datasets, name, F.lit("$"), headers)
-        .unionByName(_broken(offers, filed, where, offer_rules() + placed))
+        header_violations(datasets)
+        .unionByName(_broken(offers, filed, where, offer_rules() + filing_rules()))
         .unionByName(duplicate_violations(offers, filed, ["school_code", "spec_id"]))
     )
 

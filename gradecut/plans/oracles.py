@@ -321,6 +321,18 @@ SELECT CAST(year + 10 AS INTEGER) AS year, substr(county, 1, 2) AS county, count
        CAST(sum(last_media_h) AS BIGINT) AS total_h
 FROM offers GROUP BY 1, 2"""
 
+ORACLES["publish_history"] = f"""
+WITH {OFFERS},
+early AS (SELECT count(*) AS n, CAST(sum(last_media_h) AS BIGINT) AS total_h FROM offers WHERE year <= 1998),
+whole AS (SELECT count(*) AS n, CAST(sum(last_media_h) AS BIGINT) AS total_h FROM offers)
+SELECT step, outcome, CAST(version AS BIGINT) AS version, generation,
+       CASE WHEN version = 1 THEN early.n ELSE whole.n END AS n,
+       CASE WHEN version = 1 THEN early.total_h ELSE whole.total_h END AS total_h, stored
+FROM (VALUES (1, 'published', 1, 'g1', 'g1'), (2, 'refused', 1, 'g1', 'g1'), (3, 'refused', 1, 'g1', 'g1'),
+             (4, 'failed', 1, 'g1', 'g1'), (5, 'published', 2, 'g5', 'g1 g5'), (6, 'lost the race', 2, 'g5', 'g1 g5'),
+             (7, 'abandoned', 2, 'g5', 'g1 g5 g7'), (8, 'expired', 2, 'g5', 'g5')) AS t(step, outcome, version, generation, stored),
+     early, whole"""
+
 ORACLES["index_reconcile"] = f"""
 WITH {OFFERS},
 listed AS (
@@ -492,7 +504,10 @@ ORACLES["saved_histories"] = f"""
 WITH {OFFERS}, {_HISTORY},
 sizes AS (SELECT saved_id, max(history_rank) AS last FROM ranked GROUP BY saved_id)
 SELECT CASE length(saved_id) % 4 WHEN 1 THEN 'rows' ELSE 'history' END AS rule, count(*) AS n
-FROM sizes WHERE length(saved_id) % 4 IN (1, 2) AND last >= 1 GROUP BY 1"""
+FROM sizes WHERE length(saved_id) % 4 IN (1, 2) AND last >= 1 GROUP BY 1
+UNION ALL
+SELECT 'cap' AS rule, count(*) AS n
+FROM (SELECT county FROM saved GROUP BY county HAVING count(DISTINCT saved_id) > 500) HAVING count(*) > 0"""
 
 _BINS = f"""
 elig AS (SELECT *, CAST(floor(school_media_h / 25 + 0.5) AS BIGINT) * 25 AS bin_h FROM candidates WHERE {ELIGIBLE}),
@@ -829,15 +844,10 @@ SELECT DISTINCT page_id % 5 + 100 AS crawl, 1999 AS year, concat('c', page_id %
 FROM pages"""
 ORACLES["harvest_summary"] = f"""
 WITH RECURSIVE {_TREE}
-SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(new_files) AS BIGINT) AS new_files,
-       CAST(0 AS BIGINT) AS failed, count(*) FILTER (truncated) AS stopped, count(*) AS crawls
-FROM (SELECT crawl, truncated, count(*) AS pages, count(*) FILTER (j % 3 <> 0) AS new_files
-      FROM kept WHERE i <= 20 GROUP BY crawl, truncated)"""
-ORACLES["harvest_summary_whole"] = f"""
-WITH RECURSIVE {_TREE}
 SELECT 2024 AS year, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(new_files) AS BIGINT) AS new_files,
        CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS stopped, count(*) AS crawls
 FROM (SELECT crawl, count(*) AS pages, count(*) FILTER (j % 3 <> 0) AS new_files FROM kept GROUP BY crawl)"""
+ORACLES["harvest_summary_whole"] = ORACLES["harvest_summary"]
 ORACLES["sql_functions"] = f"""
 WITH {CANDIDATES},
 a AS (SELECT county, ((CASE WHEN materna_h IS NULL THEN (romana_h + matematica_h) // 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from gradecut.params import CalibrationParams
 from gradecut.plans import views
 from gradecut.plans.views import VIEW_COLS, spread_table, table
 from gradecut.session import cut_lineage, shared_path
-from gradecut.sources import archive, contract, exams, pages as page_sources, sinks
+from gradecut.sources import archive, contract, exams, pages as page_sources, publication, sinks
 from gradecut.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -358,6 +359,46 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def publish_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is readable, and which generations are stored, after each of eight publications and clean-ups."""
+    offers = cut_lineage(_publishable(spark, sf_dir))
+    root = shared_path(spark, "published")
+    steps = []
+
+    def note(outcome: str) -> None:
+        newest = publication.versions(spark, root).orderBy(F.desc("version")).first()
+        n, total = publication.read_published(spark, root).agg(F.count(F.lit(1)), F.sum("last_media_h")).first()
+        stored = " ".join(publication.stored_generations(spark, root))
+        steps.append((len(steps) + 1, outcome, newest["version"], newest["generation"], n, total, stored))
+
+    def attempt(rows: DataFrame, generation: str, base: int | None = None) -> None:
+        try:
+            publication.publish(rows, root, GENERATED_AT, generation, base)
+            note("published")
+        except publication.ConflictError:
+            note("lost the race")
+        except contracts.ContractError:
+            note("refused")
+        except PySparkException:
+            note("failed")
+
+    attempt(offers.filter("year <= 2008"), "g1")
+    attempt(offers.withColumn("seats", F.when(F.col("occupied_seats") == 1, -1).otherwise(F.col("seats"))), "g2")
+    attempt(offers.unionByName(offers.filter("vocational")), "g3")
+    late = F.when(F.col("year") == 2010, F.raise_error(F.lit("the source is gone"))).otherwise(F.col("last_media_h"))
+    attempt(offers.withColumn("last_media_h", late), "g4")
+    base = publication.last_number(spark, root)  # two publishers start from here
+    attempt(offers, "g5", base)
+    attempt(offers.filter("vocational"), "g6", base)
+    publication.write_generation(offers.filter("vocational"), root, GENERATED_AT, "g7")  # and is never heard of again
+    note("abandoned")
+    publication.expire(spark, root, keep=1, grace_seconds=-60)
+    note("expired")
+    kind = "step int, outcome string, version bigint, generation string, n bigint, total_h bigint, stored string"
+    return spark.createDataFrame(steps, kind)
+
+
 @query
 def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index with faults that follow from its counts, by the rule they break."""
@@ -582,7 +623,7 @@ def history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def saved_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories saved as snapshots, some of them spoilt, checked again."""
+    """Histories saved as snapshots, some of them spoilt, checked again; a county saves at most 500."""
     offers = _offers(spark, sf_dir)
     saved = offers.filter(F.col("year") == HOLDOUT_YEAR).withColumn(
         "saved_id", F.concat_ws("/", "county", "school", "spec_id")
@@ -597,7 +638,7 @@ def saved_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
             "course_label": F.when((spoilt == 2) & (F.col("place") == 1), "Other").otherwise(F.col("course_label")),
         }
     )
-    broken = contracts.saved_violations(cut_lineage(snapshots), VIEW_COLS, EPOCH_YEAR, max_saved=10**9)
+    broken = contracts.saved_violations(cut_lineage(snapshots), VIEW_COLS, EPOCH_YEAR, owner="county")
     return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -910,8 +951,8 @@ def _harvest(spark: SparkSession, sf_dir: str, max_pages: int | None) -> DataFra
 
 @query
 def harvest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages per year of a capped crawl, the files newly staged, and the crawls the cap stopped."""
-    return _harvest(spark, sf_dir, CAPPED)
+    """Pages per year of the crawls, the files newly staged, and the crawls that failed or stopped."""
+    return _harvest(spark, sf_dir, None)
 
 
 @query

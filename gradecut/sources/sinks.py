@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gradecut.functions.marks import format_media_h
 from gradecut.operators.calibration import format_knots
 from gradecut.operators.columns import OfferCols
-from gradecut.operators.contracts import (
-    ContractError,
-    assert_clean,
-    dataset_violations,
-    index_violations,
-    reconcile_index,
-)
+from gradecut.operators.contracts import assert_clean, dataset_violations
 from gradecut.operators.ranking import even_sample
 from gradecut.params import SCHEMA_VERSION
-from gradecut.schemas import NESTED_ROW, OFFER
+from gradecut.schemas import NESTED_ROW
 from gradecut.session import cut_lineage
+from gradecut.sources.publication import ROW_ORDER as _ROW_ORDER
+from gradecut.sources.publication import current_generation, headers_of, publish, read_index, read_published
 
-_ROW_ORDER = ("year", "county", "school_code", "spec_id")
+__all__ = [
+    "build_index", "current_generation", "headers_of", "publish", "read_index", "read_published", "write_normalized",
+]
 
 
 def write_normalized(offers: DataFrame, path: str, checked: bool = True) -> None:
@@ -57,91 +54,6 @@ def build_index(offers: DataFrame, cols: OfferCols = OfferCols()) -> DataFrame:
     )
 
 
-def headers_of(offers: DataFrame, generated_at: str) -> DataFrame:
-    """One header per dataset, its sources sorted and distinct: one per delivered file."""
-    return offers.groupBy("year", "county").agg(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.lit(generated_at).alias("generated_at"),
-        F.max("provenance").alias("provenance"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
-    )
-
-
-def publish(offers: DataFrame, root: str, generated_at: str, generation: str) -> DataFrame:
-    """Publish a complete, validated generation; readers see the old one until it is whole.
-
-    Everything is validated first, then written to a folder of its own, and only then is
-    one pointer row appended. A failure at any step leaves the pointer, and so the
-    previous generation, as it was. No rename is involved, so object stores work as well.
-    Returns the index of the generation.
-    """
-    spark = offers.sparkSession
-    if offers.isEmpty():
-        raise ContractError("nothing to publish")
-    filed = offers
-    for column, own in (("dataset_year", "year"), ("dataset_county", "county")):
-        if column not in filed.columns:
-            filed = filed.withColumn(column, F.col(own))
-    headers = headers_of(offers, generated_at)
-    assert_clean(dataset_violations(headers, filed), "offers")
-    index = build_index(offers)
-    assert_clean(index_violations(index), "index")
-    target = f"{root}/generations/{generation}"
-    (
-        offers.select(*OFFER.fieldNames(), "provenance", "source")
-        .repartitionByRange(*_ROW_ORDER)
-        .sortWithinPartitions(*_ROW_ORDER)
-        .write.mode("error")
-        .partitionBy("year", "county")
-        .parquet(f"{target}/offers")
-    )
-    headers.write.mode("error").parquet(f"{target}/headers")
-    index.coalesce(1).write.mode("error").parquet(f"{target}/index")
-    written = spark.read.parquet(f"{target}/offers")
-    differences = reconcile_index(spark.read.parquet(f"{target}/index"), written)
-    if not differences.isEmpty():
-        raise ContractError("the written generation differs from its index")
-    pointer = spark.range(1).select(
-        F.lit(generation).alias("generation"),
-        F.lit(generated_at).alias("generated_at"),
-        F.current_timestamp().alias("published_at"),
-    )
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/published")
-    return spark.read.parquet(f"{target}/index")
-
-
-def current_generation(spark: SparkSession, root: str) -> str | None:
-    """Name of the newest complete generation."""
-    try:
-        newest = spark.read.parquet(f"{root}/published").orderBy(F.col("published_at").desc()).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return None if newest is None else newest["generation"]
-
-
-def read_published(
-    spark: SparkSession, root: str, county: str | None = None, year: int | None = None
-) -> DataFrame:
-    """Offers of the current generation; a county or year prunes whole folders."""
-    generation = current_generation(spark, root)
-    if generation is None:
-        raise ValueError(f"nothing published under {root}")
-    offers = spark.read.parquet(f"{root}/generations/{generation}/offers")
-    if county is not None:
-        offers = offers.filter(F.col("county") == county)
-    if year is not None:
-        offers = offers.filter(F.col("year") == year)
-    return offers
-
-
-def read_index(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/generations/{current_generation(spark, root)}/index").orderBy(
-        F.col("year").desc(), "county"
-    )
-
-
 def nest_datasets(offers: DataFrame, generated_at: str, rows_per_part: int = 5000) -> DataFrame:
     """Nested documents of at most about ``rows_per_part`` rows, whole datasets in parts.
 

@@ -7,7 +7,7 @@ from gradecut import cut_lineage
 from gradecut.operators import contracts, sets
 from gradecut.operators.calibration import knots_2025
 from gradecut.schemas import EXAM_SAMPLE
-from gradecut.sources import archive, exams, pages, sinks
+from gradecut.sources import archive, exams, pages, publication, sinks
 from tests.test_cutoff import frame, offer
 
 URL = "https://static.admitere.edu.ro/{year}/repartizare/{county}/data/specialization.json"
@@ -165,6 +165,54 @@ def test_a_failed_publication_leaves_the_previous_one(spark, tmp_path):
     assert sinks.read_published(spark, root).count() == 3
 
 
+def test_two_publishers(spark, tmp_path):
+    root = str(tmp_path / "out")
+    offers = published(spark)
+    base = publication.last_number(spark, root)
+    publication.publish(offers, root, "2026-01-01T00:00:00Z", "fast", base)
+    with pytest.raises(publication.ConflictError):
+        publication.publish(published(spark, (600,)), root, "2026-01-01T00:00:00Z", "slow", base)
+    assert sinks.current_generation(spark, root) == "fast" and publication.stored_generations(spark, root) == ["fast"]
+    # a pointer that was begun and never written is passed over, and its number is not used again
+    (tmp_path / "out/log/000000000002.json").touch()
+    assert sinks.current_generation(spark, root) == "fast"
+    publication.publish(offers, root, "2026-01-02T00:00:00Z", "next")
+    assert [tuple(r) for r in publication.versions(spark, root).select("version", "generation").orderBy("version").collect()] == [
+        (1, "fast"), (3, "next")
+    ]
+    assert publication.read_published(spark, root, version=1).count() == 3
+    with pytest.raises(ValueError, match="number 2"):
+        publication.read_published(spark, root, version=2)
+
+
+def test_expiry(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for i in range(3):
+        publication.publish(published(spark, (600 + i,)), root, "2026-01-01T00:00:00Z", f"g{i}")
+    publication.write_generation(published(spark), root, "2026-01-01T00:00:00Z", "lost")
+    assert publication.expire(spark, root, keep=2) == []  # the grace period is not over
+    assert publication.expire(spark, root, keep=2, grace_seconds=-60) == ["g0", "lost"]
+    assert publication.stored_generations(spark, root) == ["g1", "g2"]
+    assert publication.expire(spark, root, keep=0, grace_seconds=-60) == ["g1"]
+    assert publication.read_published(spark, root).agg(F.min("last_media_h")).first()[0] == 602
+    with pytest.raises(contracts.ContractError, match="already exists"):
+        publication.write_generation(published(spark), root, "2026-01-01T00:00:00Z", "g2")
+
+
+def test_publication_reads_its_source_once(spark, tmp_path):
+    source = str(tmp_path / "source")
+    published(spark).write.parquet(source)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    offers = spark.read.parquet(source).coalesce(1)
+    publication.publish(offers.mapInArrow(counted, offers.schema), str(tmp_path / "out"), "2026-01-01T00:00:00Z", "g1")
+    assert reads.value == 1
+
+
 def test_normalised_partitions_and_nesting(spark, tmp_path):
     offers = published(spark, tuple(range(600, 650)))
     sinks.write_normalized(offers, str(tmp_path / "n"))
