@@ -3,12 +3,12 @@
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradecut.session import cut_lineage, shared_path
 
-__all__ = ["arrow_column", "bounded_sample", "cut_lineage", "fresh", "held_out", "read_table", "shared_path"]
+__all__ = ["arrow_column", "bounded_sample", "cut_lineage", "fresh", "held_out", "read_table", "shared_path", "training_ids"]
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,21 @@ def bounded_sample(df: DataFrame, group: str, key: str, per_group: int) -> DataF
         .filter(F.col("_drawn") < F.col("_limit"))
         .drop("_group", "_limit")
     )
-    from pyspark.sql import Window
-
     ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_drawn", key)))
     return ranked.filter(F.col("_rank") <= per_group).drop("_drawn", "_rank")
+
+
+def training_ids(documents: DataFrame, marked: DataFrame, group: str, per_group: int, most_chars: int) -> DataFrame:
+    """doc_id and ``group`` of at most ``per_group`` documents of each value to learn from.
+
+    Only documents of ``marked`` (doc_id, group) whose text has a character are drawn from. Texts of
+    up to ``most_chars`` come first; where a group has too few of them, longer ones fill up, of which
+    the caller learns from the first ``most_chars``.
+    """
+    texts = documents.select("doc_id", (F.char_length("text") > most_chars).alias("_long")).filter(F.char_length("text") > 0)
+    found = marked.select("doc_id", group).join(texts, "doc_id").groupBy("doc_id", group).agg(F.min("_long").alias("_long"))
+    kinds = found.withColumn("_kind", F.concat_ws(" ", F.col("_long").cast("string"), F.col(group).cast("string")))
+    few = bounded_sample(cut_lineage(kinds), "_kind", "doc_id", per_group)  # at most 2 * per_group of each value
+    order = Window.partitionBy(group).orderBy("_long", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), "doc_id")
+    ranked = few.withColumn("_place", F.row_number().over(order))
+    return ranked.filter(F.col("_place") <= per_group).select("doc_id", group)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradecut.llm.common import arrow_column, bounded_sample, fresh, held_out
+from gradecut.llm.common import arrow_column, fresh, held_out, training_ids
 
 MAX_N = 3
 ALPHABET = 96
@@ -166,11 +166,11 @@ def fit_texts(texts: list[str], languages: list[str]) -> LanguageModel | None:
 
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fit on a bounded sample of the rows of ``documents`` (doc_id, text, lang) that have both."""
-    known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sample = bounded_sample(known, "lang", "doc_id", per_language).distinct()
+    known = documents.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).distinct()
+    sample = training_ids(documents, known, "lang", per_language, MAX_TRAINING_CHARS)
     rows = (
-        documents.select("doc_id", "lang", "text")
-        .filter(F.char_length("text") <= MAX_TRAINING_CHARS)
+        documents.select("doc_id", "lang", F.left("text", F.lit(MAX_TRAINING_CHARS)).alias("text"))
+        .filter(F.col("text").isNotNull())
         .join(F.broadcast(sample), ["doc_id", "lang"])
         .groupBy("doc_id", "lang")
         .agg(F.min("text").alias("text"))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradecut.llm.common import arrow_column, cut_lineage, fresh
+from gradecut.session import scratch
 
 SHINGLE = 3
 SEED = 42
@@ -346,18 +347,25 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Of several rows with that id the one whose text hash is smallest stays; rows that are equal
     in id and text are folded.
     """
-    prints = fingerprints(documents)
-    return keep_first(documents, prints, components(prints))
+    with scratch(documents.sparkSession) as keep:
+        prints = fingerprints(documents)
+        chosen = keep(first_of_each(prints, components(prints)))
+    return keep_chosen(documents, chosen)
+
 
+def first_of_each(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """The document ``keep_one`` keeps of each component: chosen (doc_id, text_hash) and how many rows are it.
 
-def keep_first(documents: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """``keep_one`` for given ``prints`` (doc_id, text_hash, fp) and ``classes`` (fp, root, component_id)."""
+    From ``prints`` (doc_id, text_hash, fp) and ``classes`` (fp, root, component_id).
+    """
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = cut_lineage(
-        prints.join(classes, "fp").filter(own).groupBy("root").agg(
-            F.min(F.struct("doc_id", "text_hash")).alias("chosen"), F.count("*").alias("rows")
-        )
+    return prints.join(classes, "fp").filter(own).groupBy("root").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("chosen"), F.count("*").alias("rows")
     )
+
+
+def keep_chosen(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that ``first_of_each`` has chosen."""
     key, mark = fresh(documents, "_text_hash"), fresh(documents, "_chosen")
     ids = chosen.select(F.struct("chosen.*", "rows").alias(mark))
     hashed = documents.withColumn(key, F.xxhash64("text"))

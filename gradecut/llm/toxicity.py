@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradecut.llm.common import arrow_column, bounded_sample, fresh, held_out
+from gradecut.llm.common import arrow_column, fresh, held_out, training_ids
 
 PER_CLASS = 4_000
 MAX_TRAINING_CHARS = 20_000
@@ -151,10 +151,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         .groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    sample = bounded_sample(marked, "toxic", "doc_id", per_class)  # at most 2 * per_class pairs of numbers
+    sample = training_ids(documents, marked, "toxic", per_class, MAX_TRAINING_CHARS)
     rows = (
-        documents.select("doc_id", "text")
-        .filter(F.char_length("text") <= MAX_TRAINING_CHARS)
+        documents.select("doc_id", F.left("text", F.lit(MAX_TRAINING_CHARS)).alias("text"))
+        .filter(F.col("text").isNotNull())
         .join(F.broadcast(sample), "doc_id")
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))

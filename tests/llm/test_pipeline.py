@@ -6,7 +6,7 @@ import corpus_pipeline
 from gradecut.llm import decontaminate, language, pieces, toxicity
 from gradecut.llm.common import read_table
 from tests.llm import odd
-from tests.llm.test_simhash import brute_documents
+from tests.llm.test_similar import plain_groups
 from tests.llm.test_texts import brute_overlaps
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,8 @@ def test_run_equals_plain_version(spark):
     table, presence = language.letter_table(lang.letters), language.Presence()
     score = language.kernel_rows([t for _, t in rows], lang, table, presence) @ lang.coefficients[:-1] + lang.coefficients[-1]
     rows = [r for r, s in zip(rows, score.max(axis=1), strict=True) if s >= 0.25 and any(c.isalpha() for c in r[1])]
-    rows = [r for r, (_, _, c) in zip(rows, _by_row(rows), strict=True) if r[0] == c]
+    first = plain_groups(dict(rows))
+    rows = [r for r in rows if first[r[0]] == r[0]]
     items = [tuple(r) for r in read_table(spark, SF, "benchmark").select("item_id", "text").collect()]
     index = decontaminate.build_index(items)
     hit = decontaminate.overlaps_of([t for _, t in rows], index, decontaminate.seed_filters(index))
@@ -40,11 +41,6 @@ def test_run_equals_plain_version(spark):
     assert 50 < len(got) < 200
 
 
-def _by_row(rows):
-    found = {d: (d, p, c) for d, p, c in brute_documents(rows)}
-    return [found[i] for i, _ in rows]
-
-
 def test_stages_on_odd_documents(spark):
     docs = odd.documents(spark)
     for frame in (docs, docs.limit(0)):
