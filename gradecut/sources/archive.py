@@ -24,9 +24,8 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     under it means that no cutoff was published, its absence that the record is incomplete.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(folder, wholetext=True)
         .select("value", F.col("_metadata.file_name").alias("file"))
         .filter(F.col("file").rlike(_FILE))
         .withColumn("_records", F.from_json("value", _RECORDS, {"mode": "FAILFAST"}))
@@ -42,9 +41,8 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract("file", _FILE, 2).alias("county"),
     )
     sidecars = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.json.url")
-        .text(folder)
+        spark.read.option("pathGlobFilter", "*.json.url")
+        .text(folder, wholetext=True)
         .select(
             F.regexp_replace(F.col("_metadata.file_name"), r"\.url$", "").alias("file"),
             F.trim(F.regexp_replace("value", r"\s+", "")).alias("source_url"),

@@ -71,10 +71,9 @@ def dataset_json(offers: DataFrame, headers: DataFrame) -> DataFrame:
 def read_datasets(spark: SparkSession, folder: str) -> DataFrame:
     """Offers of all county files (``*.json``) below a folder, with the dataset each was filed under."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     parsed = files.select(parse_dataset(F.col("value")).alias("d"))
     return parsed.select(

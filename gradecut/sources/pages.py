@@ -41,7 +41,7 @@ def stored_pages(
 
 def read_bodies(spark: SparkSession, folder: str, suffix: str = ".html") -> DataFrame:
     """One row per stored file: its name and whole text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    files = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("html"))
 
 

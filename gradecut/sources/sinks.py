@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from gradecut.operators.contracts import assert_clean, dataset_violations
 from gradecut.operators.ranking import even_sample
 from gradecut.params import SCHEMA_VERSION
 from gradecut.schemas import NESTED_ROW
-from gradecut.session import cut_lineage
+from gradecut.session import cut_lineage, remove_folder, shared_path
 from gradecut.sources.publication import ROW_ORDER as _ROW_ORDER
 from gradecut.sources.publication import current_generation, headers_of, publish, read_index, read_published
 
@@ -154,6 +156,25 @@ def media_sample(results: DataFrame, counts: dict[str, int] | None = None) -> Da
     return even_sample(folded, ["form"], marks, count)
 
 
+def write_named_texts(files: DataFrame, path: str) -> None:
+    """Each row of ``files`` (file, text) as a file of its own name in one folder, ended by a line end.
+
+    Executors write the texts; the driver then gives the files their names, one rename each.
+    """
+    spark = files.sparkSession
+    staged = shared_path(spark, "texts")
+    named = files.select(F.col("file").alias("file"), F.col("text")).repartition("file")
+    named.write.partitionBy("file").text(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(path))
+    for part in system.globStatus(hadoop.Path(f"{staged}/file=*/part-*")):
+        name = unquote(part.getPath().getParent().getName().removeprefix("file="))
+        if not system.rename(part.getPath(), hadoop.Path(f"{path}/{name}")):
+            raise ValueError(f"{name} is there twice")
+    remove_folder(spark, staged)
+
+
 def write_csv_sample(sample: DataFrame, path: str, headings: dict[str, str]) -> None:
     """A sample of fixed size as one CSV with two-decimal marks; null marks stay empty."""
     columns = [format_media_h(F.col(ours)).alias(theirs) for ours, theirs in headings.items()]

@@ -10,9 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
-from gradecut.plans.oracles import ORACLES
-from gradecut.plans.workloads import QUERIES
+from gradecut.plans import files, oracles, workloads
 
+QUERIES, ORACLES = workloads.QUERIES | files.QUERIES, oracles.ORACLES | files.ORACLES
 FOLDER = Path("/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="test tables are not here")

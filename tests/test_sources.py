@@ -7,7 +7,7 @@ from gradecut import cut_lineage
 from gradecut.operators import contracts, sets
 from gradecut.operators.calibration import knots_2025
 from gradecut.schemas import EXAM_SAMPLE
-from gradecut.sources import archive, exams, pages, publication, sinks
+from gradecut.sources import archive, exams, pages, publication, shortlists, sinks
 from tests.test_cutoff import frame, offer
 
 URL = "https://static.admitere.edu.ro/{year}/repartizare/{county}/data/specialization.json"
@@ -165,6 +165,64 @@ def test_a_failed_publication_leaves_the_previous_one(spark, tmp_path):
     assert sinks.read_published(spark, root).count() == 3
 
 
+def test_files_of_several_lines(spark, tmp_path):
+    """Files are read whole, not line by line."""
+    (tmp_path / "a.html").write_text("<p>a\n\nb</p>\n")
+    (tmp_path / "a.html.url").write_text("https://h.ro/a\n\n")
+    assert [tuple(r) for r in pages.read_fixture_pages(spark, str(tmp_path)).collect()] == [("a.html", "https://h.ro/a", "<p>a\n\nb</p>\n")]
+    record = {"j": "AB", "c": "1"}
+    (tmp_path / "2025-AB.json").write_text(json.dumps([record], indent=2) + "\n\n")
+    (tmp_path / "2025-AB.json.url").write_text("https://x.ro/\n\n")
+    row = archive.read_snapshots(spark, str(tmp_path)).collect()
+    assert [(r["j"], r["c"], r["source_url"]) for r in row] == [("AB", "1", "https://x.ro/")]
+
+
+def test_named_texts(spark, tmp_path):
+    rows = [("a b.txt", "one"), ("c=d.txt", "two\nlines"), ("é.json", "")]
+    sinks.write_named_texts(spark.createDataFrame(rows, "file string, text string"), str(tmp_path / "t"))
+    found = {f.name: f.read_text() for f in (tmp_path / "t").iterdir() if not f.name.startswith(".")}
+    assert found == {name: text + "\n" for name, text in rows}
+
+
+def test_shortlist_faults(spark):
+    row = {"year": 2025, "county": "AB", "schoolCode": "1", "schoolName": "s", "specId": "c", "specLabel": "l", "profile": "",
+           "filiera": "teoretica", "limba": "ro", "seats": 5, "lastMedia": 7.05, "vocational": False}
+    shot = {"schemaVersion": 1, "year": 2025, "county": "AB", "generatedAt": "t", "provenance": "official", "sources": [], "rows": [row]}
+    saved = lambda **other: {"snapshots": [shot | {"rows": [row | other]}]}
+    docs = {
+        "good": [saved(), saved(lastMedia=None), saved(lastMedia=10, occupiedSeats=3)],
+        "nothing": [],
+        "kinds": [saved(), saved(seats="5", vocational=None), saved(lastMedia=7.055, year=2025.5)],
+        "shape": [{"snapshots": {}}, 5, {"snapshots": [{"rows": 1}, shot | {"rows": []}]}],
+        "many": [saved()] * 4,
+        "object": {"snapshots": []},
+    }
+    raw = [(k, json.dumps(v)) for k, v in docs.items()] + [("broken", "[{"), ("null", None), ("empty", "")]
+    raw = spark.createDataFrame(raw, "owner string, raw string")
+    faults = shortlists.shortlist_faults(raw, "owner", max_saved=3)
+    found = {}
+    for r in faults.collect():
+        found.setdefault(r["owner"], set()).add((r["path"], r["message"]))
+    header = ("schemaVersion", "year", "county", "generatedAt", "provenance", "sources")
+    assert found == {
+        "kinds": {
+            ("$[1].snapshots[0].rows[0].seats", "expected a whole number"),
+            ("$[1].snapshots[0].rows[0].vocational", "missing"),
+            ("$[2].snapshots[0].rows[0].lastMedia", "not a mark from 1 to 10 in hundredths"),
+            ("$[2].snapshots[0].rows[0].year", "expected a whole number"),
+        },
+        "shape": {("$[0].snapshots", "expected an array"), ("$[1].snapshots", "missing"), ("$[2].snapshots[0].rows", "expected an array")}
+        | {(f"$[2].snapshots[0].{name}", "missing") for name in header},
+        "many": {("$", "more than 3 saved courses")},
+        "object": {("$", "expected an array")},
+        "broken": {("$", "not JSON")},
+        "empty": {("$", "not JSON")},
+    }
+    sound = shortlists.sound_shortlists(raw, faults, "owner")
+    assert {r["owner"] for r in sound.collect()} == {"good", "nothing", "null"}
+    assert pages.read_shortlist(sound, owner="owner").count() == 3
+
+
 def test_two_publishers(spark, tmp_path):
     root = str(tmp_path / "out")
     offers = published(spark)
