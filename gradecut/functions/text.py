@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 from gradecut.functions.marks import ANY_SPACE
 from gradecut.params import TRACKS
 
-# Characters dropped, and spaces folded to the plain one.
+# Characters that are dropped.
 INVISIBLE = r"[\xAD\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
-ODD_SPACE = r"[\xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+# Runs of white space other than one plain space, which is left where it is.
+_UNEVEN_SPACE = f" {ANY_SPACE}+|(?! ){ANY_SPACE}{ANY_SPACE}*"
 
 
 @cache
@@ -49,16 +50,16 @@ def compose_nfc(text: Column) -> Column:
 
 def fix_diacritics(text: Column) -> Column:
     """Comma-below letters throughout, composed. Idempotent; other letters are untouched."""
-    commas = F.translate(compose_nfc(text), "ŞşŢţ", "ȘșȚț")
+    composed = compose_nfc(text)
+    commas = F.translate(composed, "ŞşŢţ", "ȘșȚț")
     for letter, comma in (("s", "ș"), ("S", "Ș"), ("t", "ț"), ("T", "Ț")):
         commas = F.regexp_replace(commas, letter + r"[\x{326}\x{327}]", comma)
-    return commas
+    return F.when(composed.rlike(r"[ŞşŢţ\x{326}\x{327}]"), commas).otherwise(composed)
 
 
 def clean_spaces(text: Column) -> Column:
     visible = F.regexp_replace(text, INVISIBLE, "")
-    plain = F.regexp_replace(visible, ODD_SPACE, " ")
-    return F.trim(F.regexp_replace(plain, ANY_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(visible, _UNEVEN_SPACE, " "))
 
 
 def normalize_text(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradecut.session import checked_broadcast, cut_lineage
 
 MAX_CELLS = 100_000
+MAX_CELL_ROWS = 100_000
 
 
 def rank_within(
@@ -105,16 +106,24 @@ def even_sample(
     holding = placed.filter((F.col("_size") <= count) | (picked(F.col("_upto") - F.col("_n"), F.col("_upto")) > 0))
     names = {c: f"_cell_{i}" for i, c in enumerate(cell)}
     holding = checked_broadcast(
-        holding.select(*[F.col(c).alias(n) for c, n in names.items()], (F.col("_upto") - F.col("_n")).alias("_earlier"), "_size"),
+        holding.select(
+            *[F.col(c).alias(n) for c, n in names.items()], (F.col("_upto") - F.col("_n")).alias("_earlier"), "_size", "_n"
+        ),
         MAX_CELLS,
     )
+    fullest = holding.agg(F.max("_n")).first()[0] or 0
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     near = df.join(holding, on=same).select(*columns, "_earlier", "_size")
     copies = F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))
     folded = near.groupBy(*columns, "_earlier", "_size").agg(copies.alias("_copies"))
     rest = [c for c in columns if c not in cell]
     keys = [F.col(c) for c in [*[c for c in order if c in rest], *[c for c in rest if c not in order]]] or [F.lit(0)]
-    ranked = rank_within(folded, cell, keys, "_rank", "_cell_size", weight=None if distinct else "_copies")
+    if fullest <= MAX_CELL_ROWS:  # a cell then fits one task, whatever the other columns hold
+        run = Window.partitionBy(*cell).orderBy(*keys)
+        before = F.coalesce(F.sum("_copies").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = folded.withColumn("_rank", before)
+    else:
+        ranked = rank_within(folded, cell, keys, "_rank", "_cell_size", weight=None if distinct else "_copies")
     low = F.col("_earlier") + F.col("_rank")
     taken = F.when(F.col("_size") <= count, F.col("_copies")).otherwise(picked(low, low + F.col("_copies")))
     return (
