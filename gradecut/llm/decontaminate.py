@@ -14,20 +14,25 @@ appear word for word. Items without words never match.
 
 The items are hashed in blocks of at most about ``BLOCK_CHARS`` characters (one item if it is
 longer); a block's index is shipped to the tasks and every document is held against every block,
-whole texts throughout, so neither side needs a limit. Null, empty and wordless texts have no
-overlap. Repeated rows are judged alike; items with equal texts are all reported, items with a
+whole texts throughout. Only one block's index is held at a time, by the driver and by the tasks: where
+there are several blocks, each one's overlaps are written before the next is built, by the digest of the
+text, and joined to the documents at the end. Where a text repeats a passage, only the first of the places with the same
+words around them is verified: the others cannot give a better or earlier window. Null, empty and wordless texts
+have no overlap, an empty table of documents gives an empty result and an empty benchmark no overlaps. Repeated rows are judged alike; items with equal texts are all reported, items with a
 null id or text are ignored. Other columns of the inputs are ignored.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradecut.llm.common import arrow_column, fresh
+from gradecut.llm.common import arrow_column, cut_lineage, fresh
 
 WINDOW = 13
 AGREE = 11
@@ -36,6 +41,7 @@ LEAST_ITEM = 8
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
 TOKENS_AT_ONCE = 1 << 20
+FEW = 32
 
 OVERLAPS = "array<struct<item_id:bigint,start:int,agree:int>>"
 
@@ -116,27 +122,48 @@ def build_index(items: list[tuple[int, str]]) -> SeedIndex:
     return SeedIndex(ids, words, flat, starts, lengths, seeds)
 
 
-def _hits(words: np.ndarray, index: SeedIndex, offsets, hashes, items, places, known):
+def first_places(words: np.ndarray, at: np.ndarray, begins: np.ndarray, reach: int) -> np.ndarray:
+    """Those of the positions ``at`` that are the first of their text with the same words up to ``reach`` around them."""
+    steps = np.arange(-reach, reach + WINDOW)
+    text = np.searchsorted(begins, at, "right")  # rising, as the positions are
+    ends = np.append(np.flatnonzero(np.diff(text)) + 1, len(at))
+    kept = np.ones(len(at), bool)
+    for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+        if end - start >= FEW:
+            where = at[start:end, None] + steps
+            around = np.where((where >= 0) & (where < len(words)), words[np.clip(where, 0, len(words) - 1)], 0)
+            kept[start:end] = False
+            kept[start + np.unique(around, axis=0, return_index=True)[1]] = True
+    return at[kept]
+
+
+def _hits(words: np.ndarray, index: SeedIndex, offsets, hashes, items, places, known, begins):
     """Pairs of a word position and an item's place whose words agree under the mask."""
     found = seed_hashes(words, offsets)
     at = np.flatnonzero(known[(found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     low = np.searchsorted(hashes, found[at], "left")
     many = np.searchsorted(hashes, found[at], "right") - low
     at, low, many = at[many > 0], low[many > 0], many[many > 0]
+    if begins is not None and len(at) >= FEW:
+        first = np.isin(at, first_places(words, at, begins, max(WINDOW - 1, int(offsets[-1]))))
+        at, low, many = at[first], low[first], many[first]
     position = np.repeat(at, many)
     nth = np.arange(len(position)) - np.repeat(np.cumsum(many) - many, many)
     entry = np.repeat(low, many) + nth
     return position, items[entry], places[entry]
 
 
-def overlaps_in(words: np.ndarray, index: SeedIndex, filters: list[np.ndarray]) -> list[tuple[int, int, int]]:
+def overlaps_in(
+    words: np.ndarray, index: SeedIndex, filters: list[np.ndarray], begins: np.ndarray | None = None
+) -> list[tuple[int, int, int]]:
     """Item number, first word and agreement of every verified overlap window, best first per item and diagonal.
 
-    ``words`` may hold several texts with at least ``WINDOW`` zeros between them.
+    ``words`` may hold several texts with at least ``WINDOW`` zeros between them; where ``begins`` says
+    where they begin, places with the same words around them are looked at once a text.
     """
     out: dict[tuple[int, int], tuple[int, int]] = {}
     for (offsets, hashes, items, places), known in zip(index.seeds, filters, strict=True):
-        position, item, place = _hits(words, index, offsets, hashes, items, places, known)
+        position, item, place = _hits(words, index, offsets, hashes, items, places, known, begins)
         if not len(position):
             continue
         for length in np.unique(index.lengths[item]) if index.lengths[item].min() < WINDOW else [WINDOW]:
@@ -185,7 +212,7 @@ def overlaps_of(texts: list[str | None], index: SeedIndex, filters: list[np.ndar
 
     def flush() -> None:
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for item, start, top in overlaps_in(np.array(coded, np.uint64), index, filters):
+        for item, start, top in overlaps_in(np.array(coded, np.uint64), index, filters, np.array(begins)):
             nth = int(np.searchsorted(begins, start, "right")) - 1
             key = (owners[nth], index.ids[item])
             candidate = (top, -(start - begins[nth]))
@@ -207,54 +234,74 @@ def overlaps_of(texts: list[str | None], index: SeedIndex, filters: list[np.ndar
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[SeedIndex]:
-    """Indexes of the blocks of ``benchmark`` (item_id, text), each collected on its own."""
+def item_blocks(benchmark: DataFrame) -> Iterator[SeedIndex]:
+    """Indexes of the blocks of ``benchmark`` (item_id, text), each collected when it is asked for."""
     sound = benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    chars = sound.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    count = max(1, -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    indexes = []
-    for no in range(count):
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(block_count(benchmark)))
+    for no in range(block_count(benchmark)):
         rows = sound.filter(block == no).distinct().collect()
         if rows:
-            indexes.append(build_index(sorted((r["item_id"], r["text"]) for r in rows)))
-    return indexes
-
-
-def overlaps(text: Column, indexes: list[SeedIndex], spark) -> Column:
-    """Overlaps of the whole text with all items as one array column."""
-
-    def against(index: SeedIndex) -> Column:
-        sent = spark.sparkContext.broadcast(index)
-
-        def make():
-            own = sent.value
-            filters = seed_filters(own)
-
-            def apply(batch: pa.Array) -> pa.Array:
-                found = overlaps_of(batch.to_pylist(), own, filters)
-                flat = [x for f in found for x in f]
-                offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-                return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["item_id", "start", "agree"]))
-
-            return apply
-
-        return arrow_column(make, OVERLAPS)(text)
-
-    if not indexes:
-        return F.array().cast(OVERLAPS)
-    return F.array_sort(F.concat(*[against(i) for i in indexes]))
+            yield build_index(sorted((r["item_id"], r["text"]) for r in rows))
+
+
+def block_count(benchmark: DataFrame) -> int:
+    """How many blocks the items make."""
+    chars = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return max(1, -(-chars // BLOCK_CHARS))
+
+
+def overlaps(text: Column, index: SeedIndex, sent) -> Column:
+    """Overlaps of the whole text with a block's items, by item, as one array column. ``sent`` is its broadcast."""
+
+    def make():
+        own = sent.value
+        filters = seed_filters(own)
+
+        def apply(batch: pa.Array) -> pa.Array:
+            found = overlaps_of(batch.to_pylist(), own, filters)
+            flat = [x for f in found for x in f]
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["item_id", "start", "agree"]))
+
+        return apply
+
+    return arrow_column(make, OVERLAPS)(text)
+
+
+def with_overlaps(documents: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
+    """The documents with a column of their overlaps."""
+    context = documents.sparkSession.sparkContext
+    none = F.array().cast(OVERLAPS)
+    if block_count(benchmark) == 1:
+        index = next(item_blocks(benchmark), None)
+        found = none if index is None else F.array_sort(overlaps(F.col("text"), index, context.broadcast(index)))
+        return documents.withColumn(name, found)
+    parts = []
+    for index in item_blocks(benchmark):
+        sent = context.broadcast(index)
+        part = documents.select(F.md5("text").alias("_digest"), overlaps(F.col("text"), index, sent).alias("_part"))
+        once = part.filter(F.size("_part") > 0).groupBy("_digest").agg(F.first("_part").alias("_part"))
+        parts.append(cut_lineage(once))
+        sent.destroy()
+    key = fresh(documents, "_digest")
+    if not parts:
+        return documents.withColumn(name, none)
+    whole = reduce(DataFrame.unionByName, parts).groupBy(F.col("_digest").alias(key)).agg(
+        F.array_sort(F.flatten(F.collect_list("_part"))).alias(name)  # one list of each block
+    )
+    joined = documents.withColumn(key, F.md5("text")).join(whole, key, "left")
+    return joined.select(*documents.columns, F.coalesce(F.col(name), none).alias(name))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated (0 or 1) and the overlaps of every document, the best of each item."""
-    found = documents.select("doc_id", overlaps(F.col("text"), item_blocks(benchmark), documents.sparkSession).alias("overlaps"))
+    found = with_overlaps(documents.select("doc_id", "text"), benchmark, "overlaps")
     return found.select("doc_id", (F.size("overlaps") > 0).cast("int").alias("contaminated"), "overlaps")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any overlap, with their own columns."""
     mark = fresh(documents, "_overlaps")
-    found = documents.withColumn(mark, overlaps(F.col("text"), item_blocks(benchmark), documents.sparkSession))
+    found = with_overlaps(documents, benchmark, mark)
     return found.filter(F.size(mark) == 0).select(*documents.columns)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -215,6 +216,31 @@ def test_overlaps_equal_brute_force():
         assert got == [brute_overlaps(t, items) for t in texts]
 
 
+def test_repeated_passages():
+    """A passage that a text repeats thousands of times costs about as much as once."""
+    rng = random.Random(2)
+    line = [f"w{i}" for i in range(13)]
+    items = [(i, " ".join([f"a{i}", *line, f"b{i}"])) for i in range(200)]
+    texts = [" ".join(line * 40), " ".join(line * 3 + ["x"] + line[:6] + ["y"] + line[7:] + line * 40), " ".join(rng.sample(line, 13) * 9)]
+    index = decontaminate.build_index(items)
+    filters = decontaminate.seed_filters(index)
+    assert decontaminate.overlaps_of(texts, index, filters) == [brute_overlaps(t, items) for t in texts]
+    began = time.perf_counter()
+    found = decontaminate.overlaps_of([" ".join(line * 4000)], index, filters)
+    assert time.perf_counter() - began < 5 and len(found[0]) == 200
+
+
+def test_blocks_equal_one_block(spark, monkeypatch):
+    docs, items = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "benchmark")
+    want = sorted(map(str, decontaminate.contamination(docs, items).collect()))
+    kept = sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2500)
+    assert decontaminate.block_count(items) > 3
+    assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == want
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == kept
+    assert decontaminate.clean(odd.documents(spark), items).columns == odd.documents(spark).columns
+
+
 def test_decontamination_on_all_documents(spark):
     items = [tuple(r) for r in read_table(spark, SMALL, "benchmark").select("item_id", "text").collect()]
     sets = {i: set(decontaminate.words_of(t)) for i, t in items}
