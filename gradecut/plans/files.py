@@ -1,4 +1,4 @@
-"""Registered queries that write files of the outside world's formats from the given tables and read them back."""
+"""Registered queries that write files or generations from the given tables and read them back, and streams over such files."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradecut.operators import calibration
+from gradecut.operators import calibration, robust
 from gradecut.params import CalibrationParams
 from gradecut.plans import views
 from gradecut.plans.oracles import CANDIDATES, OFFERS, ORACLES as _BASE, _BINS
 from gradecut.plans.views import table
-from gradecut.plans.workloads import GENERATED_AT, MIN_COUNT
+from gradecut.plans.workloads import GENERATED_AT, MIN_COUNT, publishable, rounded
 from gradecut.schemas import EXAM_SAMPLE
 from gradecut.session import cut_lineage, shared_path
-from gradecut.sources import archive, exams, pages, shortlists, sinks
+from gradecut.sources import archive, exams, pages, publication, shortlists, sinks
+from gradecut.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +206,85 @@ f AS (
   FROM o WHERE owner IN ('NATION_71996', 'NATION_71997'))
 SELECT owner, place, message, count(*) AS n FROM f GROUP BY ALL
 UNION ALL SELECT owner, '$', 'sound', count(*) FROM j WHERE owner NOT IN (SELECT owner FROM f) GROUP BY owner"""
+
+
+@query
+def snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that differ from a published generation, found by reading the changed datasets only, and the folders read."""
+    offers = cut_lineage(publishable(spark, sf_dir))
+    root = shared_path(spark, "published")
+    publication.publish(offers, root, GENERATED_AT, "g1")
+    here = (F.col("county") == "AS") & F.col("year").isin(2006, 2009)
+    edited = offers.filter(~((F.col("county") == "EU") & (F.col("year") == 2007) & F.col("vocational")))
+    mark = F.when(here & (F.col("occupied_seats") % 3 == 0), F.col("last_media_h") + 1).otherwise(F.col("last_media_h"))
+    edited = edited.withColumn("last_media_h", mark)
+    edited = cut_lineage(edited.unionByName(offers.filter("county = 'AM' AND year = 2011").withColumn("county", F.lit("ZZ"))))
+    changed = publication.changed_datasets(edited, root)
+    read = {f.rsplit("/", 2)[0] + "/" + f.rsplit("/", 2)[1] for f in publication.read_datasets(spark, root, changed).inputFiles()}
+    off = publication.differences(edited, root).groupBy("year", "county", "only_in").agg(F.sum("copies").alias("n"))
+    folders = spark.range(1).select(
+        F.lit(None).cast("int").alias("year"), F.lit("folders").alias("county"), F.lit("read").alias("only_in"), F.lit(len(read)).cast("bigint").alias("n")
+    )
+    return off.unionByName(folders)
+
+
+ORACLES["snapshot_digests"] = f"""
+WITH {OFFERS},
+p AS (SELECT year + 10 AS year, upper(substr(county, 1, 2)) AS county, school, spec_id, occupied, last_media_h, vocational FROM offers),
+c AS (
+  SELECT year, county, school, spec_id, last_media_h FROM p WHERE county = 'AS' AND year IN (2006, 2009) AND occupied % 3 = 0 AND last_media_h IS NOT NULL),
+d AS (
+  SELECT year, county, 'published' AS only_in FROM c UNION ALL SELECT year, county, 'source' FROM c
+  UNION ALL SELECT year, county, 'published' FROM p WHERE county = 'EU' AND year = 2007 AND vocational
+  UNION ALL SELECT year, 'ZZ', 'source' FROM p WHERE county = 'AM' AND year = 2011)
+SELECT CAST(year AS INTEGER) AS year, county, only_in, count(*) AS n FROM d GROUP BY ALL
+UNION ALL SELECT NULL, 'folders', 'read', count(DISTINCT concat(county, year)) FILTER (county <> 'ZZ') FROM d"""
+
+
+@query
+def selected_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of the prices paid in each nation, by selection that holds at most 500 values."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    paid = lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    paid = paid.select("c_nationkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    asked = {"lowest": 0.0, "low": 0.1, "middle": 0.5, "high": 0.9, "highest": 1.0}
+    return rounded(robust.grouped_quantiles(paid, ["c_nationkey"], "price", asked, held=500))
+
+
+ORACLES["selected_quantiles"] = """
+WITH p AS (SELECT c_nationkey, l_extendedprice * (1 - l_discount) AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT c_nationkey, round(min(price), 6) AS lowest, round(quantile_cont(price, 0.1), 6) AS low, round(median(price), 6) AS middle,
+       round(quantile_cont(price, 0.9), 6) AS high, round(max(price), 6) AS highest
+FROM p GROUP BY c_nationkey"""
+
+
+@query
+def selected_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and scaled median deviation of the order totals of each priority, by selection."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    return rounded(robust.selected_scale(orders, ["o_orderpriority"], "o_totalprice", held=200))
+
+
+ORACLES["selected_scales"] = """
+WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS middle FROM orders GROUP BY 1)
+SELECT o_orderpriority, round(any_value(middle), 6) AS median, round(1.4826 * median(abs(o_totalprice - middle)), 6) AS robust_scale
+FROM orders JOIN m USING (o_orderpriority) GROUP BY 1"""
+
+
+@query
+def stream_last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last order of every customer from orders that arrive in no order, over several triggers and a restart."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    folder = shared_path(spark, "writes")
+    keys = ["o_custkey"]
+    for part in (2, 0, 3, 1):  # newer ones before older ones, as keys rise with time
+        turn = F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == part
+        orders.filter(turn).coalesce(2).write.mode("append").parquet(f"{folder}/arrived")
+        if part in (0, 1):  # the query is stopped and started again between the two
+            arriving = streams.read_arriving(spark, f"{folder}/arrived", orders.schema, per_trigger=1)
+            streams.run_last_writes(arriving, keys, "o_orderkey", f"{folder}/out", f"{folder}/state")
+    return streams.read_last_writes(spark, keys, f"{folder}/out")
+
+
+ORACLES["stream_last_writes"] = _BASE["last_write_wins"]

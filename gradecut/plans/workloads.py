@@ -327,7 +327,7 @@ def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
+def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers in the published shape, without faults."""
     return views.offers(spark, sf_dir).select(
         (F.col("year") + 10).alias("year"),
@@ -351,7 +351,7 @@ def _publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A published generation read back by its pointer."""
-    offers = _publishable(spark, sf_dir)
+    offers = publishable(spark, sf_dir)
     root = shared_path(spark, "published")
     sinks.publish(cut_lineage(offers), root, GENERATED_AT, "g1")
     return sinks.read_published(spark, root).groupBy(F.col("year").cast("int").alias("year"), "county").agg(
@@ -362,7 +362,7 @@ def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def publish_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is readable, and which generations are stored, after each of eight publications and clean-ups."""
-    offers = cut_lineage(_publishable(spark, sf_dir))
+    offers = cut_lineage(publishable(spark, sf_dir))
     root = shared_path(spark, "published")
     steps = []
 
@@ -402,7 +402,7 @@ def publish_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def index_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index with faults that follow from its counts, by the rule they break."""
-    index = cut_lineage(sinks.build_index(_publishable(spark, sf_dir)))
+    index = cut_lineage(sinks.build_index(publishable(spark, sf_dir)))
     odd = F.col("row_count") % 5
     faulty = index.filter(odd != 4).select(
         "year",
@@ -427,7 +427,7 @@ def county_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def normalized_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history united from two parts, written in its fixed order and read back."""
-    offers = cut_lineage(_publishable(spark, sf_dir))
+    offers = cut_lineage(publishable(spark, sf_dir))
     early = offers.filter("year < 2006").drop("provenance")
     history = sets.union_history([early, offers.filter("year >= 2006")]).withColumn(
         "provenance", F.coalesce("provenance", F.lit("official"))
@@ -448,7 +448,7 @@ def normalized_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers written as the contract's JSON documents and read back, marks exact."""
-    offers = cut_lineage(_publishable(spark, sf_dir))
+    offers = cut_lineage(publishable(spark, sf_dir))
     folder = shared_path(spark, "contract")
     contract.dataset_json(offers, sinks.headers_of(offers, GENERATED_AT)).select("document").write.text(folder)
     read = spark.read.text(folder).select(contract.parse_dataset(F.col("value")).alias("d"))

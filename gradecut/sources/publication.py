@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from gradecut.operators import contracts
+from gradecut.operators import contracts, sets
 from gradecut.operators.contracts import ContractError, assert_clean
 from gradecut.params import SCHEMA_VERSION
 from gradecut.schemas import OFFER
@@ -123,8 +123,9 @@ def _filed(offers: DataFrame) -> DataFrame:
 
 def _datasets(written: DataFrame, generated_at: str) -> DataFrame:
     """Header and index entry of each dataset, and how many of its keys occur twice; copies fold first."""
+    hashes = [F.sum(sets.row_hash(WRITTEN.fieldNames(), k).cast("decimal(38,0)")).alias(f"digest{k}") for k in (1, 2)]
     once = written.groupBy(*ROW_ORDER).agg(
-        F.count(F.lit(1)).alias("n"), F.max("provenance").alias("provenance"), F.collect_set("source").alias("sources")
+        F.count(F.lit(1)).alias("n"), F.max("provenance").alias("provenance"), F.collect_set("source").alias("sources"), *hashes
     )
     path = F.concat(F.col("year").cast("string"), F.lit("/"), F.col("county"), F.lit(".json"))
     return once.groupBy("year", "county").agg(
@@ -134,6 +135,7 @@ def _datasets(written: DataFrame, generated_at: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
         F.sum("n").alias("row_count"),
         F.count_if(F.col("n") > 1).alias("copied_keys"),
+        *[F.sum(f"digest{k}").alias(f"digest{k}") for k in (1, 2)],
     ).withColumn("path", path)
 
 
@@ -252,3 +254,39 @@ def _index(spark: SparkSession, target: str) -> DataFrame:
 
 def read_index(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     return _index(spark, _target(spark, root, version))
+
+
+def changed_datasets(offers: DataFrame, root: str, version: int | None = None) -> list[tuple[int, str]]:
+    """year and county of the datasets in which ``offers`` differ from a published generation.
+
+    The generation's digests were stored when it was written, so only ``offers`` is read.
+    """
+    spark = offers.sparkSession
+    stored = spark.read.parquet(f"{_target(spark, root, version)}/datasets").withColumnRenamed("row_count", "rows")
+    typed = offers.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in WRITTEN])
+    own = sets.digests(typed, ["year", "county"], WRITTEN.fieldNames())
+    return sorted((r["year"], r["county"]) for r in sets.changed_groups(stored, own, ["year", "county"]).collect())
+
+
+def read_datasets(spark: SparkSession, root: str, wanted: list[tuple[int, str]], version: int | None = None) -> DataFrame:
+    """Published offers of those of the given datasets that are published; only their folders are listed and read."""
+    target = _target(spark, root, version)
+    there = _index(spark, target).filter(_among(wanted)).select("year", "county").collect()
+    folders = [f"{target}/offers/year={year}/county={county}" for year, county in there]
+    if not folders:
+        return spark.createDataFrame([], WRITTEN)
+    return spark.read.schema(WRITTEN).option("basePath", f"{target}/offers").parquet(*folders)
+
+
+def _among(wanted: list[tuple[int, str]]):
+    found = F.lit(False)
+    for year in sorted({y for y, _ in wanted}):
+        found = found | ((F.col("year") == year) & F.col("county").isin([c for y, c in wanted if y == year]))
+    return found
+
+
+def differences(offers: DataFrame, root: str, version: int | None = None) -> DataFrame:
+    """Rows that only ``offers`` or only the published generation has, from the datasets that differ."""
+    wanted = changed_datasets(offers, root, version)
+    published = read_datasets(offers.sparkSession, root, wanted, version)
+    return sets.snapshot_difference(published, offers.select(*WRITTEN.fieldNames()).filter(_among(wanted)))

@@ -1,4 +1,4 @@
-"""Running verification of arriving results, and first sight of pages."""
+"""Running verification of arriving results, first sight of pages, and the last write of every key."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gradecut.functions.urls import canonical_url
 from gradecut.operators.evaluate import media_counters
+from gradecut.operators.ranking import last_write_wins
 
 
 def read_arriving(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int | None = None) -> DataFrame:
@@ -81,3 +82,35 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts of the last finished batch of ``run_counts``."""
     last = spark.read.parquet(f"{path}/finished").agg(F.max("batch")).first()[0]
     return spark.read.parquet(f"{path}/batches/{last}")
+
+
+def run_last_writes(arriving: DataFrame, keys: list[str], sequence: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what has arrived and stop; ``read_last_writes`` gives the last write of every key so far.
+
+    The state store holds one row a key, whatever its order of arrival: a late earlier write changes
+    nothing. A batch writes the keys that it touched to a folder of its own, a repeated batch over its
+    own earlier try, and is then named as finished. A query that is started again goes on from there.
+    """
+    newest = last_write_wins(arriving, keys, sequence)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+        done = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("batch"))
+        done.coalesce(1).write.mode("append").parquet(f"{path}/finished")
+
+    query = (
+        newest.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(append)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def read_last_writes(spark: SparkSession, keys: list[str], path: str) -> DataFrame:
+    """The last write of every key, from the finished batches; the latest batch that touched a key has it."""
+    finished = spark.read.parquet(f"{path}/finished").distinct()
+    touched = spark.read.parquet(f"{path}/batches").join(F.broadcast(finished), "batch", "left_semi")
+    return last_write_wins(touched, keys, "batch").drop("batch")

@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gradecut.functions.probability import normal_cdf_value
-from gradecut.operators import answers, contracts, cutoff, evaluate, matching
+from gradecut.operators import answers, contracts, cutoff, evaluate, matching, robust
 from gradecut.operators.columns import OfferCols
 from gradecut.params import CutoffParams
 from gradecut.schemas import OFFER
@@ -231,3 +232,25 @@ def test_course_history(spark):
     saved = df.filter("year = 2026").withColumn("saved_id", F.lit("a"))
     got = matching.course_history(saved, df).orderBy("history_rank").collect()
     assert [(r["year"], r["spec_id"]) for r in got] == [(2026, "2026-1"), (2025, "x")]
+
+
+def test_selection_of_any_doubles(spark):
+    rng = random.Random(4)
+    groups = {
+        "one": [5.0],
+        "equal": [2.5] * 400,
+        "spread": [rng.gauss(0, 1e6) for _ in range(700)],
+        "steep": [10.0 ** rng.uniform(-300, 300) * rng.choice((-1, 1)) for _ in range(600)],
+        "ends": [-1.7e308, 1.7e308, 0.0, 5e-324] * 60,
+        "hot": [1.0 + 2**-52 * rng.randrange(3) for _ in range(3000)],
+        "odd": [None, float("nan")],
+    }
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    ranks = [(g, r) for g, xs in groups.items() if g != "odd" for r in {0, len(xs) // 3, len(xs) // 2, len(xs) - 1}]
+    found = robust.order_statistics(rows, spark.createDataFrame(ranks, "g string, rank long"), ["g"], "x", held=20).collect()
+    assert {(r["g"], r["rank"]): r["value"] for r in found} == {(g, r): sorted(groups[g])[r] for g, r in ranks}
+    scale = robust.selected_scale(rows.filter("g IN ('spread', 'equal')"), ["g"], "x", held=20).collect()
+    want = robust.robust_scale(rows.filter("g IN ('spread', 'equal')"), "x", ["g"]).collect()
+    for a, b in zip(sorted(scale), sorted(want), strict=True):
+        assert a["g"] == b["g"] and abs(a["median"] - b["median"]) < 1e-6 and abs(a["robust_scale"] - b["robust_scale"]) < 1e-6
+    assert robust.grouped_quantiles(rows.limit(0), ["g"], "x", {"q": 0.5}).count() == 0

@@ -257,6 +257,29 @@ def test_expiry(spark, tmp_path):
         publication.write_generation(published(spark), root, "2026-01-01T00:00:00Z", "g2")
 
 
+def test_differences_by_digest(spark, tmp_path):
+    root = str(tmp_path / "out")
+    offers = published(spark)
+    publication.publish(offers, root, "2026-01-01T00:00:00Z", "g1")
+    assert publication.changed_datasets(offers.orderBy("spec_id"), root) == []
+    assert publication.differences(offers, root).isEmpty()
+    edited = offers.withColumn("limba", F.when(F.col("county") == "BV", F.lit(None)).otherwise(F.col("limba")))
+    more = edited.unionByName(offers.filter("county = 'BV'").withColumn("county", F.lit("ZZ")))
+    assert publication.changed_datasets(more, root) == [(2026, "BV"), (2026, "ZZ")]
+    found = publication.differences(more, root).select("county", "limba", "only_in", "copies").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(
+        map(str, [("BV", None, "source", 1), ("BV", offers.first()["limba"], "published", 1), ("ZZ", offers.first()["limba"], "source", 1)])
+    )
+    assert all("county=BV" in f for f in publication.read_datasets(spark, root, [(2026, "BV"), (2026, "ZZ")]).inputFiles())
+    copies = offers.unionByName(offers.filter("county = 'SB'").limit(1))
+    assert publication.changed_datasets(copies, root) == [(2025, "SB")]
+    # a value that moves from one column to another one that was null
+    rows = spark.createDataFrame([(1, "a", None)], "g int, x string, y string")
+    moved = spark.createDataFrame([(1, None, "a")], "g int, x string, y string")
+    both = [sets.digests(d, ["g"], ["x", "y"]) for d in (rows, moved)]
+    assert sets.changed_groups(*both, ["g"]).count() == 1
+
+
 def test_publication_reads_its_source_once(spark, tmp_path):
     source = str(tmp_path / "source")
     published(spark).write.parquet(source)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from gradecut.operators.evaluate import assert_media
@@ -40,3 +42,23 @@ def test_first_sight_of_pages(spark, tmp_path):
     kept = streams.first_seen_pages(streams.read_arriving(spark, source, df.schema))
     streams.run_available(kept, f"{out}None", f"{state}None")
     assert spark.read.parquet(f"{out}None").count() == 1
+
+
+def test_last_writes_in_any_order(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randrange(20), n, f"v{n % 7}") for n in range(200)]
+    rng.shuffle(rows)
+    kind = "key int, seq int, value string"
+    for turn in range(4):
+        part = rows[turn * 50 : turn * 50 + 50]
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = streams.read_arriving(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema, per_trigger=1)
+        streams.run_last_writes(arriving, ["key"], "seq", str(tmp_path / "out"), str(tmp_path / "state"))
+        got = streams.read_last_writes(spark, ["key"], str(tmp_path / "out"))
+        want = {}
+        for k, n, v in sorted(rows[: turn * 50 + 50], key=lambda r: r[1]):
+            want[k] = (n, v)
+        assert {r["key"]: (r["seq"], r["value"]) for r in got.collect()} == want
+    # a batch that was written and never finished does not count
+    spark.createDataFrame([(0, 10**6, "x")], kind).write.parquet(str(tmp_path / "out/batches/batch=999"))
+    assert streams.read_last_writes(spark, ["key"], str(tmp_path / "out")).filter("value = 'x'").isEmpty()
