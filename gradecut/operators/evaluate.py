@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,6 +236,32 @@ def backtest(
     return _measured(pairs, params, group)
 
 
+def rolling_backtest(
+    offers: DataFrame,
+    holdout_years: Sequence[int],
+    cols: OfferCols = OfferCols(),
+    params: CutoffParams = CutoffParams(),
+    group: Sequence[str] = (),
+) -> DataFrame:
+    """``backtest`` of every holdout year in one plan, with the year as ``holdout_year``.
+
+    The changes between years are folded to their histogram once. Each holdout takes the part of it
+    that lies before it, its years moved so that all holdouts share one target year, and is a group
+    of its own in one fit. The offers themselves are read once for the histogram and once for the pairs.
+    """
+    target = max(holdout_years)
+    own = replace(cols, group=("holdout_year", *cols.group))
+
+    def held(rows: DataFrame, year: str, before: bool) -> DataFrame:
+        years = F.array(*[F.lit(y) for y in holdout_years])
+        later = F.filter(years, lambda y: y > F.col(year) if before else y >= F.col(year))
+        return rows.withColumn("holdout_year", F.explode(later)).withColumn(year, F.col(year) - F.col("holdout_year") + target)
+
+    models = fit_histogram(held(delta_histogram(offers, cols), "year", True), target, own, params)
+    pairs = cut_lineage(holdout_pairs(held(offers, cols.year, False), target, cut_lineage(models), own))
+    return _measured(pairs, params, ["holdout_year", *group])
+
+
 def _measured(pairs: DataFrame, params: CutoffParams, group: Sequence[str]) -> DataFrame:
     gap = F.col("sd") * params.z
     cutoff, outcome = F.col("cutoff_h") / 100, F.col("outcome_h") / 100

@@ -1,4 +1,7 @@
-"""Registered queries that write files or generations from the given tables and read them back, and streams over such files."""
+"""Registered queries that write from the given tables and read back: files, generations, streams, stored fits.
+
+Operators that came later than ``workloads`` are here as well.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradecut.operators import calibration, robust
+from gradecut.operators import calibration, evaluate, robust
 from gradecut.params import CalibrationParams
 from gradecut.plans import views
-from gradecut.plans.oracles import CANDIDATES, OFFERS, ORACLES as _BASE, _BINS
+from gradecut.plans.oracles import _BINS, _FIT, CANDIDATES, OFFERS, model
+from gradecut.plans.oracles import ORACLES as _BASE
 from gradecut.plans.views import table
 from gradecut.plans.workloads import GENERATED_AT, MIN_COUNT, publishable, rounded
 from gradecut.schemas import EXAM_SAMPLE
 from gradecut.session import cut_lineage, shared_path
-from gradecut.sources import archive, exams, pages, publication, shortlists, sinks
+from gradecut.sources import archive, exams, fits, pages, publication, shortlists, sinks
 from gradecut.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +292,44 @@ def stream_last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["stream_last_writes"] = _BASE["last_write_wins"]
+
+
+HOLDOUTS = (1998, 1999, 2000, 2001)
+
+
+@query
+def rolling_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest of four holdout years, all fitted in one plan."""
+    offers = cut_lineage(views.offers(spark, sf_dir))
+    return rounded(evaluate.rolling_backtest(offers, HOLDOUTS, views.VIEW_COLS, group=["county"]))
+
+
+ORACLES["rolling_backtest"] = " UNION ALL ".join(
+    f"SELECT {y} AS holdout_year, t.* FROM ({_BASE['backtest'].replace('2001', str(y))}) AS t" for y in HOLDOUTS
+)
+
+
+@query
+def incremental_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models after three deliveries: the past, one year of two counties, and a correction of an earlier year."""
+    whole = cut_lineage(views.offers(spark, sf_dir))
+    folder, cols = shared_path(spark, "fits"), views.VIEW_COLS
+    past = F.col("year") <= 2000
+    early = F.col("county").isin("ASIA", "EUROPE")
+    faulty = whole.withColumn("last_media_h", F.when(F.col("year") == 1997, 500).otherwise(F.col("last_media_h")))
+    first = faulty.filter(past)
+    fits.deliver(first, first, folder, 2002, cols)
+    second = faulty.filter(past | early)
+    fits.deliver(second, second.filter("year = 2001"), folder, 2002, cols)
+    third = whole.filter(past | early)
+    models = fits.deliver(third, third.filter("year = 1997"), folder, 2002, cols)
+    return rounded(
+        models.select(
+            "county", "target_year", "base_year", "sigma", "tau", "sd", "evidence", F.size("observed_shifts").alias("n_shifts")
+        )
+    )
+
+
+ORACLES["incremental_refit"] = f"""
+WITH {OFFERS}, {model(2002, "year <= 2000 OR county IN ('ASIA', 'EUROPE')")}
+SELECT {_FIT} FROM model"""
