@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 
 from gradecut.session import cut_lineage, shared_path
 
-__all__ = ["arrow_column", "bounded_sample", "cut_lineage", "fresh", "held_out", "read_table", "shared_path", "training_ids"]
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+
+__all__ = ["arrow_column", "bound_batches", "bounded_sample", "cut_lineage", "fresh", "held_out", "read_table", "shared_path", "training_ids"]
+
+
+def bound_batches(spark) -> None:
+    """Hand texts to Python in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` from now on.
+
+    By default a batch has 10,000 rows of any length, several copies of which are in memory at once on
+    either side. A session that asks for less keeps its own setting.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables, in a session with bounded batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +52,7 @@ def arrow_column(make: Callable[[], Callable[[pa.Array], pa.Array]], return_type
         apply = make()
         for batch in batches:
             yield apply(batch)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return F.arrow_udf(run, returnType=return_type)
 
