@@ -339,7 +339,7 @@ class Segmenter:
         token = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
         counts = np.diff(begins)[token]
         ids = flat[_ranges(begins[token], counts)]
-        starts = np.concatenate(([0], np.cumsum([len(own) for own in split])))
+        starts = np.cumsum([0, *(len(own) for own in split)])
         reached = np.concatenate(([0], np.cumsum(counts)))
         loss, score = losses[token], word_scores[token]
         scores, edits = [], []
@@ -399,7 +399,7 @@ class Segmenter:
         reached = np.concatenate(([0], np.cumsum(self._byte_counts[ids])))
         ends = reached[np.cumsum(counts)].tolist()
         # the first byte is the space that was put before the text
-        return [raw[start + 1 : end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+        return [raw[start + 1 : end] for start, end in zip([0, *ends][:-1], ends, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded to ``ids``."""
@@ -423,7 +423,8 @@ def encode(text: Column, vocabulary: Vocabulary, spark, n: int = NBEST) -> Colum
                 if size > CHARS_AT_ONCE:
                     yield texts
                     texts, size = [], 0
-            yield texts
+            if texts:
+                yield texts
 
         def apply(batch: pa.Array) -> pa.Array:
             flat, ends, scores, score_ends, others, exact = [], [np.zeros(1, np.int64)], [], [0], [], []

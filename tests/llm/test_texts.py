@@ -1,6 +1,7 @@
 """Toxicity, language, licenses, decontamination and pieces: edge cases, brute force, accuracy."""
 
 import itertools
+import math
 import random
 import time
 import tracemalloc
@@ -230,6 +231,52 @@ def test_repeated_passages():
     assert time.perf_counter() - began < 5 and len(found[0]) == 200
 
 
+def test_pieces_of_a_batch_that_ends_with_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "CHARS_AT_ONCE", 20)
+    texts = ["a", None, "several words of one text that is long", "", "the last text is over the bound as well"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for frame, many in ((docs, 5), (docs.limit(0), 0)):
+        rows = pieces.tokenize(frame, pieces.load_vocabulary()).collect()
+        assert len(rows) == many
+    segmenter = pieces.Segmenter(pieces.load_vocabulary())
+    assert segmenter.encode_batch([])[0].tolist() == [] and segmenter.decode_batch(np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
+
+
+def test_toxicity_equals_plain_noisy_or(spark):
+    documents, labels = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "labels")
+    model = toxicity.fit_on_folds(documents, labels)
+    texts = dict(documents.select("doc_id", "text").collect())
+    for r in toxicity.score_documents(documents, model).collect():
+        clean = 1.0
+        for sentence in toxicity._SENTENCE.findall((texts[r["doc_id"]] or "").lower()):
+            if words := toxicity.features(sentence):
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights.get(w, 0.0) for w in words)))
+        assert abs(r["score"] - (1 - clean)) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_long_texts_only_teach_as_well(spark):
+    """A class or language whose texts are all long is learned from excerpts."""
+    rng = random.Random(7)
+    names = {"en": "the of and to in is that it was for".split(), "de": "der die und das von zu mit ist nicht ein".split()}
+    long = lambda lang: " ".join(rng.choice(names[lang]) for _ in range(8000))
+    rows = [(i, long("de") if i % 2 else " ".join(rng.choice(names["en"]) for _ in range(30)), "de" if i % 2 else "en") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language.MAX_TRAINING_CHARS for _, t, lang in rows if lang == "de")
+    found = language.predict(docs, language.fit(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: lang for i, _, lang in rows}
+
+
+def test_scripts_of_many_letters(spark):
+    """Two languages of thousands of letters, none of them frequent, are told apart."""
+    rng = random.Random(8)
+    first, second = [chr(0x4E00 + 7 * i) for i in range(900)], [chr(0xAC00 + 5 * i) for i in range(900)]
+    rows = [(i, " ".join("".join(rng.choice(second if i % 2 else first) for _ in range(3)) for _ in range(60)), str(i % 2)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.filter("doc_id < 60"))
+    rest = language.predict(docs.filter("doc_id >= 60"), model).collect()
+    assert sum(r["lang_pred"] == str(r["doc_id"] % 2) for r in rest) >= 18
+
+
 def test_blocks_equal_one_block(spark, monkeypatch):
     docs, items = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "benchmark")
     want = sorted(map(str, decontaminate.contamination(docs, items).collect()))
