@@ -7,13 +7,14 @@ against the others. A batch of texts is scored by two matrix products: presence
 landmarks' presence columns give the kernel rows, which the solved coefficients turn into one
 score for each language.
 
-Texts are lower-cased; everything but letters becomes one separator. The letters are the
-``ALPHABET - 2`` most frequent of the training texts, all others share one symbol. Presence is
+Texts are lower-cased; everything but letters becomes one separator. The most frequent letters of
+the training texts have symbols of their own, all others share ``OTHERS`` symbols by their code, so that scripts
+of thousands of letters are still told apart by which symbols follow each other. Presence is
 taken over the whole text. The norm of a text counts all its distinct n-grams, those outside
 the landmarks included, so kernel values are exact.
 
-The fit takes a bounded sample: ``PER_LANGUAGE`` rows of each language, each of at most
-``MAX_TRAINING_CHARS``. Null texts and texts without a letter are ``und`` with score 0, as is
+The fit takes a bounded sample: ``PER_LANGUAGE`` rows of each language, texts of at most
+``MAX_TRAINING_CHARS`` before longer ones, of which it takes so many characters. Null texts and texts without a letter are ``und`` with score 0, as is
 every text when nothing was labelled. With one labelled language every text with letters gets
 it. Repeated rows are judged alike; ties go to the language that sorts first. Other columns of
 the input are ignored.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from gradecut.llm.common import arrow_column, fresh, held_out, training_ids
 
 MAX_N = 3
-ALPHABET = 96
+ALPHABET = 128
+OTHERS = 32
 LANDMARKS = 192
 PER_LANGUAGE = 400
 MAX_TRAINING_CHARS = 20_000
@@ -58,21 +60,24 @@ class LanguageModel:
     coefficients: np.ndarray
 
 
+def _shared(codes: np.ndarray) -> np.ndarray:
+    """Symbols of letters that have none of their own."""
+    return 1 + ((codes.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(16)) % np.uint64(OTHERS)).astype(np.int32)
+
+
 def letter_table(letters: str) -> np.ndarray:
-    """Symbol of every code point of the basic plane: 0 separator, 1 other letter, 2.. the letters."""
-    table = np.zeros(0x10000, np.int32)
-    for code in range(0x10000):
-        if chr(code).isalpha():
-            table[code] = 1
+    """Symbol of every code point of the basic plane: 0 separator, then ``OTHERS`` shared ones, then the letters."""
+    codes = np.arange(0x10000)
+    table = np.where([chr(c).isalpha() for c in codes], _shared(codes), 0).astype(np.int32)
     for i, c in enumerate(letters):
-        table[ord(c)] = i + 2
+        table[ord(c)] = 1 + OTHERS + i
     return table
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of a text with runs of separators as one, framed by separators."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    found = np.where(codes < 0x10000, table[np.minimum(codes, 0xFFFF)], 1)
+    found = np.where(codes < 0x10000, table[np.minimum(codes, 0xFFFF)], _shared(codes))
     framed = np.concatenate(([0], found, [0]))
     return framed[np.concatenate(([True], (framed[1:] != 0) | (framed[:-1] != 0)))]
 
@@ -128,7 +133,7 @@ def fit_texts(texts: list[str], languages: list[str]) -> LanguageModel | None:
     for text, _ in pairs:
         counts.update(text.lower())
     letters = sorted((c for c in counts if c.isalpha() and ord(c) < 0x10000), key=lambda c: (-counts[c], c))
-    letters = "".join(letters[: ALPHABET - 2])
+    letters = "".join(letters[: ALPHABET - 1 - OTHERS])
     table, presence = letter_table(letters), Presence()
     by_name = [[t for t, lang in pairs if lang == name] for name in names]
     turns = [t for turn in range(max(map(len, by_name))) for group in by_name for t in group[turn : turn + 1]]

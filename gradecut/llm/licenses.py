@@ -6,9 +6,11 @@ shingles that begin every n, so that every passage as long as the template lies
 window's MinHash signature is held against the template's in ``BANDS`` bands of ``ROWS`` rows.
 A window that contains four fifths of the template has a Jaccard similarity of at least
 0.8 / 2.2, for which one band agrees with probability over 0.9998; that of a window that holds
-the whole template is over 0.9999999. Each window retrieved is verified: the template is found
-if at least ``CONTAINMENT`` of its distinct shingles occur in the window. Windows that share no
-shingle with any template are passed over, for their similarity is zero.
+the whole template is over 0.9999999. The bands of all templates of one length are in one table from a band and its
+values to templates; a window is signed once and looks its bands up there, whatever the number of
+templates. Each template retrieved is verified: it is found if at least ``CONTAINMENT`` of its distinct
+shingles occur in the window. Windows that share no shingle with any template of their length
+are not signed, for their similarity is zero and no band could retrieve one.
 
 Windows of one template that overlap and pass are one finding, from its first to its last
 shingle of the template, with the largest containment.
@@ -132,6 +134,15 @@ def signature_of(shingles: np.ndarray) -> np.ndarray:
     return mixed.min(axis=1).reshape(BANDS, ROWS)
 
 
+def band_keys(signature: np.ndarray) -> list[int]:
+    """One key for each band and its values."""
+    mixed = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for values in signature.T:
+        mixed = (mixed ^ values) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed.tolist()
+
+
 def make_templates(texts=TEMPLATES) -> list[Template]:
     """Templates from (name, text); those without words are left out."""
     out = []
@@ -151,9 +162,15 @@ class Scanner:
     def __init__(self, templates: list[Template]) -> None:
         self._templates = templates
         self._sizes = sorted({t.size for t in templates})
-        self._known = {
-            size: np.unique(np.concatenate([t.shingles for t in templates if t.size == size])) for size in self._sizes
-        }
+        # of each size and length: all shingles, and templates by band and its values
+        self._tables: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[int]]]] = {}
+        for kind in sorted({(t.size, t.length) for t in templates}):
+            mine = [i for i, t in enumerate(templates) if (t.size, t.length) == kind]
+            table: dict[int, list[int]] = {}
+            for i in mine:
+                for key in band_keys(templates[i].signature):
+                    table.setdefault(key, []).append(i)
+            self._tables[kind] = np.unique(np.concatenate([templates[i].shingles for i in mine])), table
 
     def prepare(self, texts: tuple[tuple[str, str], ...]) -> "Scanner":
         """Take the words of the templates' texts, so that most texts are passed over by words alone."""
@@ -173,35 +190,35 @@ class Scanner:
             if len(words) < size or self._first[size].isdisjoint(zip(words, words[1:], strict=False) if size > 1 else zip(words)):
                 continue
             every = shingles_of(words, size)
-            hits = np.flatnonzero(np.isin(every, self._known[size]))
-            if not len(hits):
-                continue
-            for template in self._templates:
-                if template.size == size:
-                    out += self._findings(template, every, hits)
+            for (own, length), (known, table) in self._tables.items():
+                if own == size:
+                    hits = np.flatnonzero(np.isin(every, known))
+                    if len(hits):
+                        out += self._findings(length, table, every, hits)
         return sorted(out, key=lambda f: (f[2], f[0], f[3]))
 
-    def _findings(self, template: Template, every: np.ndarray, hits: np.ndarray):
-        n = template.length
+    def _findings(self, n: int, table: dict[int, list[int]], every: np.ndarray, hits: np.ndarray):
         last = max(0, -(-(len(every) - 2 * n) // n))
         # only windows that hold a shingle of some template
         at = np.unique(np.concatenate([hits // n, hits // n - 1]))
-        found: list[list] = []
+        found: dict[int, list[list]] = {}
         for k in at[(at >= 0) & (at <= last)].tolist():
             window = every[k * n : k * n + 2 * n]
-            if not (signature_of(np.unique(window)) == template.signature).all(axis=1).any():
-                continue
-            inside = np.isin(window, template.shingles)
-            share = len(np.unique(window[inside])) / len(template.shingles)
-            if share < CONTAINMENT:
-                continue
-            places = np.flatnonzero(inside) + k * n
-            start, stop = int(places[0]), int(places[-1]) + template.size
-            if found and k - found[-1][0] == 1:
-                found[-1] = [k, max(found[-1][1], share), found[-1][2], max(found[-1][3], stop)]
-            else:
-                found.append([k, share, start, stop])
-        return [(template.name, share, start, stop) for _, share, start, stop in found]
+            retrieved = {i for key in band_keys(signature_of(np.unique(window))) for i in table.get(key, ())}
+            for i in sorted(retrieved):
+                template = self._templates[i]
+                inside = np.isin(window, template.shingles)
+                share = len(np.unique(window[inside])) / len(template.shingles)
+                if share < CONTAINMENT:
+                    continue
+                places = np.flatnonzero(inside) + k * n
+                start, stop = int(places[0]), int(places[-1]) + template.size
+                mine = found.setdefault(i, [])
+                if mine and k - mine[-1][0] == 1:
+                    mine[-1] = [k, max(mine[-1][1], share), mine[-1][2], max(mine[-1][3], stop)]
+                else:
+                    mine.append([k, share, start, stop])
+        return [(self._templates[i].name, share, start, stop) for i in sorted(found) for _, share, start, stop in found[i]]
 
 
 def findings(text: Column, texts=TEMPLATES) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradecut.llm.common import arrow_column, bounded_sample
+from gradecut.llm.common import arrow_column, training_ids
 
 SAMPLE = 2_000
 MAX_TRAINING_CHARS = 100_000
@@ -229,14 +229,18 @@ def _counts(batches):
 
 
 def fit(pages: DataFrame) -> Weights:
-    """Weights from a bounded sample of the ``pages`` (page_id, html) that mark their article."""
-    marked = pages.select("page_id", "html").filter(
-        F.col("page_id").isNotNull()
-        & F.col("html").rlike("(?i)<article[\\s>]")
-        & (F.char_length("html") <= MAX_TRAINING_CHARS)
+    """Weights from a bounded sample of the ``pages`` (page_id, html) that mark their article.
+
+    Pages of at most ``MAX_TRAINING_CHARS`` come first, longer ones teach by so many characters where there
+    are too few. The ``MOST_FEATURES`` names that occur most have weights, others their prior ones.
+    """
+    marked = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).filter(
+        F.col("page_id").isNotNull() & F.col("html").rlike("(?i)<article[\\s>]")
     )
-    chosen = bounded_sample(marked.select("page_id", F.lit(1).alias("one")), "one", "page_id", SAMPLE).select("page_id")
-    sample = marked.join(F.broadcast(chosen.distinct()), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    known = marked.select("doc_id", F.lit(1).alias("one")).distinct()
+    chosen = training_ids(marked, known, "one", SAMPLE, MAX_TRAINING_CHARS).select("doc_id")
+    whole = marked.withColumn("html", F.left("text", F.lit(MAX_TRAINING_CHARS))).drop("text")
+    sample = whole.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("html").alias("html"))
     counts = (
         sample.mapInPandas(_counts, "tag boolean, name string, inside bigint, outside bigint")
         .groupBy("tag", "name")
