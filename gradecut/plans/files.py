@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradecut.operators import calibration, evaluate, robust
+from gradecut.operators import calibration, contracts, cutoff, evaluate, robust
 from gradecut.params import CalibrationParams
 from gradecut.plans import views
 from gradecut.plans.oracles import _BINS, _FIT, CANDIDATES, OFFERS, model
@@ -333,3 +333,40 @@ def incremental_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["incremental_refit"] = f"""
 WITH {OFFERS}, {model(2002, "year <= 2000 OR county IN ('ASIA', 'EUROPE')")}
 SELECT {_FIT} FROM model"""
+
+
+@query
+def observed_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly shifts that every county's fit carries, one row each."""
+    fit = cutoff.fit_cutoff_model(cut_lineage(views.offers(spark, sf_dir)), 2002, views.VIEW_COLS)
+    each = fit.select("county", F.explode("observed_shifts").alias("s"))
+    return rounded(each.select("county", "s.year", "s.shift", "s.spec_count"))
+
+
+ORACLES["observed_shifts"] = _BASE["county_shifts"]
+
+
+@query
+def header_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of datasets, spoilt in each way that follows from their row counts, by the rule they break."""
+    offers = publishable(spark, sf_dir)
+    headers = sinks.headers_of(offers, GENERATED_AT).join(offers.groupBy("year", "county").agg(F.count("*").alias("rows")), ["year", "county"])
+    odd = F.col("rows") % 7
+    spoilt = headers.select(
+        F.when(odd == 1, F.col("year") + 100).otherwise(F.col("year")).alias("year"),
+        F.when(odd == 2, F.lower("county")).otherwise(F.col("county")).alias("county"),
+        F.when(odd == 3, 2).otherwise(F.col("schema_version")).alias("schema_version"),
+        F.when(odd == 4, "yesterday").otherwise(F.col("generated_at")).alias("generated_at"),
+        F.when(odd == 5, "synthetic").otherwise(F.col("provenance")).alias("provenance"),
+        F.when(odd == 6, F.array(F.lit(""))).otherwise(F.col("sources")).alias("sources"),
+    )
+    return contracts.header_violations(spoilt).groupBy("dataset", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLES["header_faults"] = f"""
+WITH {OFFERS},
+d AS (SELECT year + 10 AS year, upper(substr(county, 1, 2)) AS county, count(*) % 7 AS odd FROM offers GROUP BY 1, 2)
+SELECT concat(CAST(CASE odd WHEN 1 THEN year + 100 ELSE year END AS VARCHAR), '/', CASE odd WHEN 2 THEN lower(county) ELSE county END) AS dataset,
+       CASE odd WHEN 1 THEN 'year' WHEN 2 THEN 'county' WHEN 3 THEN 'version' WHEN 4 THEN 'timestamp' ELSE 'sources' END AS rule,
+       CAST(1 AS BIGINT) AS n
+FROM d WHERE odd > 0"""
