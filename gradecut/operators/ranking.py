@@ -80,12 +80,12 @@ def _picks_below(rank: Column, size: Column, count: Column) -> Column:
 
 
 def even_sample(
-    df: DataFrame, strata: Sequence[str], order: Sequence[str], count: int | Column, distinct: bool = False
+    df: DataFrame, strata: Sequence[str], order: Sequence[str], count: int | Column, distinct: bool = False, unique: bool = False
 ) -> DataFrame:
     """``count`` evenly spaced rows of every stratum in sort order; all rows of small strata.
 
     ``count`` may be a column of the stratum. Copies count as rows of their own; ``distinct``
-    takes them as one. Deterministic: no random numbers are involved.
+    takes them as one, ``unique`` says that there are none. Deterministic: no random numbers are involved.
 
     Rows are first counted by cell, the leading two columns of ``order``. Running counts over
     the cells tell which of them hold a wanted position, and only their rows are ranked. On
@@ -115,7 +115,10 @@ def even_sample(
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     near = df.join(holding, on=same).select(*columns, "_earlier", "_size")
     copies = F.lit(1).cast("bigint") if distinct else F.count(F.lit(1))
-    folded = near.groupBy(*columns, "_earlier", "_size").agg(copies.alias("_copies"))
+    if unique:
+        folded = near.withColumn("_copies", F.lit(1).cast("bigint"))
+    else:
+        folded = near.groupBy(*columns, "_earlier", "_size").agg(copies.alias("_copies"))
     rest = [c for c in columns if c not in cell]
     keys = [F.col(c) for c in [*[c for c in order if c in rest], *[c for c in rest if c not in order]]] or [F.lit(0)]
     if fullest <= MAX_CELL_ROWS:  # a cell then fits one task, whatever the other columns hold

@@ -153,7 +153,7 @@ def media_sample(results: DataFrame, counts: dict[str, int] | None = None) -> Da
     count = F.try_element_at(wanted, F.col("form"))
     # One row per combination by now, so nothing is left to fold; written once, as it is read twice.
     folded = cut_lineage(distinct.filter(F.col("form").isin(*counts)))
-    return even_sample(folded, ["form"], marks, count)
+    return even_sample(folded, ["form"], marks, count, unique=True)
 
 
 def write_named_texts(files: DataFrame, path: str) -> None:
